@@ -1,0 +1 @@
+"""Orrery streaming."""
