@@ -180,7 +180,7 @@ def test_classifiers_on_odd_rows(spark, odd):
 def test_template_language():
     run = lambda s, **v: "".join(t for t, _ in chat.compile_template(s)(v))
     assert run("{% for x in xs %}{{ loop.index }}{{ x | upper }}{% if not loop.last %},{% endif %}{% endfor %}", xs=["a", "b"]) == "1A,2B"
-    assert chat.fold(chat.parse("a{{ 'b' ~ 1 + 2 }}{% if 1 == 1 %}c{% else %}{{ x }}{% endif %}")) != () and run("{{ 'a' ~ 'b' }}") == "ab"
+    assert chat.fold(chat.parse("a{{ 'b' ~ (1 + 2) }}{% if 1 == 1 %}c{% else %}{{ x }}{% endif %}")) != () and run("{{ 'a' ~ 'b' }}") == "ab"
     assert chat.fold(chat.parse("a{{ 'b' }}c")) == (chat.Text("abc"),)
     assert run("{% set y = m['k'] %}{{ y | default('none') }}{# gone #}", m={}) == "none"
     assert run("{{ m.__class__ }}", m={}) == "" and run("{{ x.__class__ }}", x="s") == ""
