@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import asof, audit, calibrate, entity, geo, governance, policy, ranking, scheduling
+from ..operators import asof, audit, calibrate, entity, geo, governance, policy, ranking, scheduling, stability
 from ..operators.graph import connected_components
 from ..sources.tables import inspections, manifest, table
 
@@ -774,3 +774,76 @@ def null_rule_checks(spark, sf_dir):
         .unionByName(one("reserve_is_eligible", d.where("mechanism = 'reserve' and not eligible")))
         .unionByName(one("slot_taken_twice", plan.where("status = 'scheduled'").groupBy("fold_id", "slot_date", "slot_index").count().where("count > 1")))
     )
+
+
+# --- stability and choice -------------------------------------------------------------
+
+_VALUES = """v AS (SELECT fold_id, unnest(['score', 'area', 'label']) AS feature, unnest([-1.5::DOUBLE * (score - 0.5), 0.1::DOUBLE * (area - 12), 0.3::DOUBLE * label]) AS v FROM cells),
+ fr AS (SELECT *, rank() OVER (PARTITION BY fold_id ORDER BY a DESC) AS k FROM (SELECT fold_id, feature, round(avg(abs(v)), 9) AS a FROM v GROUP BY ALL))"""
+
+
+def _values(spark, sf_dir):
+    parts = {"score": -1.5 * (F.col("score") - 0.5), "area": 0.1 * (F.col("area") - 12), "label": 0.3 * F.col("label")}
+    long = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), v.alias("v")) for n, v in parts.items())))
+    return cells(spark, sf_dir).select("fold_id", long.alias("x")).select("fold_id", "x.*")
+
+
+@query(f"""WITH {_CELLS}, {_VALUES} SELECT feature, round(avg(a), 6) AS mean_abs, round(stddev_pop(a), 6) AS sd, min(k) AS best_rank, max(k) AS worst_rank, count(*) AS n_folds FROM fr GROUP BY 1""")
+def importance(spark, sf_dir):
+    return stability.importance(_values(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("mean_abs", "sd")})
+
+
+@query(f"""WITH {_CELLS}, {_VALUES}, t AS (SELECT fold_id, list(feature) AS top FROM fr WHERE k <= 2 GROUP BY 1), l AS (SELECT *, lag(top) OVER (ORDER BY fold_id) AS prev FROM t)
+ SELECT fold_id, round(len(list_intersect(top, prev)) / len(list_distinct(list_concat(top, prev))), 6) AS jaccard FROM l WHERE prev IS NOT NULL""")
+def importance_overlap(spark, sf_dir):
+    return stability.top_overlap(_values(spark, sf_dir), 2).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"""WITH {_CELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY score, id) AS rn, count(*) OVER (PARTITION BY fold_id) AS n FROM cells)
+ SELECT fold_id, percent, id, score FROM r, (VALUES (10), (50), (90)) AS p(percent) WHERE rn = (percent * n + 99) // 100""")
+def representative_cases(spark, sf_dir):
+    return stability.representative(cells(spark, sf_dir), CELL)
+
+
+_TWO = [POLICIES[0], POLICIES[2]]
+
+
+@query(f"""WITH {_CELLS}, {_alloc_sql(_TWO)}, s AS (SELECT fold_id, id, bool_or(policy_id = 'pure_risk') AS a, bool_or(policy_id = 'floor_10') AS b FROM dec WHERE mechanism <> 'none' GROUP BY ALL)
+ SELECT fold_id, count(*) FILTER (WHERE a AND NOT b) AS only_left, count(*) FILTER (WHERE b AND NOT a) AS only_right, bool_and(a AND b) AS same FROM s GROUP BY 1""")
+def queue_difference(spark, sf_dir):
+    return stability.queue_difference(decided(spark, sf_dir, _TWO).where("is_selected"), CELL, "pure_risk", "floor_10")
+
+
+@query(f"WITH {_CELLS} SELECT CAST(sum(least({K}, n)) AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n FROM (SELECT fold_id, count(*) AS n FROM cells GROUP BY 1)")
+def pooled_capacity(spark, sf_dir):
+    return stability.pooled_capacity(cells(spark, sf_dir), CELL, K)
+
+
+@query(f"""WITH {_CELLS}, g AS (SELECT fold_id, d, count(*) AS n FROM cells GROUP BY ALL)
+ SELECT fold_id, d, n, coalesce(sum(n) OVER (PARTITION BY fold_id ORDER BY d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100 < sum(n) OVER (PARTITION BY fold_id) * 20 AS held FROM g""")
+def inner_split(spark, sf_dir):
+    return stability.inner_split(cells(spark, sf_dir), CELL, 20)
+
+
+@query(f"""WITH x AS ({ORACLES["calib_select"]}) SELECT count(*) FILTER (WHERE prev <> method) AS n_switches, count(*) AS n_folds FROM (SELECT method, lag(method) OVER (ORDER BY fold_id) AS prev FROM x)""")
+def method_switches(spark, sf_dir):
+    return stability.method_switches(calib_select(spark, sf_dir))
+
+
+@query(f"WITH {_INSP} SELECT name, count(DISTINCT establishment_id) AS n_places FROM insp WHERE d < DATE '{PLANNING}' GROUP BY 1 HAVING count(DISTINCT establishment_id) > 1")
+def chain_names(spark, sf_dir):
+    return stability.chain_names(inspections(spark, sf_dir), PLANNING)
+
+
+_MODELS = "VALUES ('a', 0.21D, 0.19D, 0.23D, 0.05D, 0.50D), ('b', 0.24D, 0.22D, 0.26D, 0.06D, 0.52D), ('c', 0.23D, 0.20D, 0.25D, 0.04D, 0.51D), ('d', 0.18D, 0.16D, 0.20D, 0.01D, 0.40D)"
+
+
+@query(f"""WITH m AS (SELECT * FROM ({_MODELS.replace("D", "::DOUBLE")}) AS t(model, nde, lo, hi, ece, prec)), c AS (SELECT *, hi >= (SELECT arg_max(lo, (nde, lo)) FROM m) AS is_contender FROM m)
+ SELECT model, is_contender, row_number() OVER (ORDER BY is_contender DESC, ece, prec DESC, model) = 1 AS is_chosen FROM c""")
+def model_choice(spark, sf_dir):
+    return stability.model_choice(spark.sql(f"SELECT * FROM {_MODELS} AS t(model, nde, lo, hi, ece, prec)"))
+
+
+@query(f"""WITH x AS ({ORACLES["month_effects"]}) SELECT round(max(effect) - min(effect), 6) AS amplitude FROM x""")
+def seasonal_amplitude(spark, sf_dir):
+    return month_effects(spark, sf_dir).agg(F.round(F.max("effect") - F.min("effect"), 6).alias("amplitude"))
