@@ -20,8 +20,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     empty table gives an empty result.  Returns ``node``, ``label``.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    # Written before its two uses, so that costly edges are computed once.
+    e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     nodes = e.where("u = v").select(F.col("u").alias("node"))
-    e = stored(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = e.where("u <> v")
     before = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
