@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stored
 
+#: Tasks that the rows of one key are dealt over.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, spread: str, name: str) -> DataFrame:
+    """``rows`` with the smallest ``value`` of their ``key`` as ``name``.
+
+    A key's rows are dealt by ``spread`` over ``SALTS`` parts, each with its own minimum; at
+    most ``SALTS`` minima meet in one place.  So no task holds all rows of a hot key.  Rows
+    with a null key go; values are ignored where null.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    parts = dealt.groupBy(key, "_salt").agg(F.min(value).alias(name))
+    parts = parts.withColumn(name, F.min(name).over(Window.partitionBy(key)))
+    return dealt.join(parts, [key, "_salt"]).drop("_salt")
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Label every node of ``edges`` with the smallest node id of its component.
 
     Alternates the large-star and small-star steps until the edge set is a forest of
-    stars.  Each step is a map-side combined ``min`` per node and one equi join, so a hub
-    is split by skew-join handling and never gathered.  Every round is written to the
-    shared folder; only its row count and a checksum reach the driver.
+    stars.  Each step is a map-side combined ``min`` per node and one equi join, both salted,
+    so a hub is never gathered.  Every round is written to the shared folder; only its row
+    count and a checksum reach the driver.
 
     Edges with a null end are ignored, self loops and repeated edges are harmless, and an
     empty table gives an empty result.  Returns ``node``, ``label``.
@@ -41,13 +57,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def _large_star(e: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest of its neighbourhood."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = with_least(both, "u", "v", "v", "m").where("v > u")
+    return least.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    least = with_least(down, "u", "v", "v", "m")
+    return least.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
