@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, with_least
 from ..shared import stored
 from .rows import text_chunks
 
@@ -195,8 +195,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = SHINGLE_W
     parts = connected_components(links(each, radius))
     joined = each.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"), F.col("label").isNotNull().alias("linked"))
     joined = stored(joined, "labelled")
-    low = joined.where("linked").groupBy("label").agg(F.min("least").alias("component"))
-    linked = joined.where("linked").join(low, "label").select("fp", "component")
+    linked = with_least(joined.where("linked"), "label", "least", "fp", "component").select("fp", "component")
     groups = linked.unionByName(joined.where("not linked and n > 1").select("fp", F.col("least").alias("component")))
     groups = groups.withColumn("grouped", F.lit(True))
     return marks.join(groups, "fp", "left").select(
