@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import asof, audit, calibrate, entity, geo, governance, policy, ranking, scheduling, stability
+from ..operators import asof, audit, calibrate, entity, geo, governance, policy, ranking, scheduling, stability, uncertainty
 from ..operators.graph import connected_components
 from ..sources.tables import inspections, manifest, table
 
@@ -847,3 +847,46 @@ def model_choice(spark, sf_dir):
 @query(f"""WITH x AS ({ORACLES["month_effects"]}) SELECT round(max(effect) - min(effect), 6) AS amplitude FROM x""")
 def seasonal_amplitude(spark, sf_dir):
     return month_effects(spark, sf_dir).agg(F.round(F.max("effect") - F.min("effect"), 6).alias("amplitude"))
+
+
+# --- uncertainty and approval ---------------------------------------------------------
+
+
+@query(f"""WITH {_CELLS}, p AS (SELECT x.fold_id, sum(sign(x.score - y.score) * sign(x.area - y.area)) AS s, count(*) FILTER (WHERE sign(x.score - y.score) * sign(x.area - y.area) < 0) AS inversions, count(*) FILTER (WHERE x.score <> y.score)::DOUBLE AS da, count(*) FILTER (WHERE x.area <> y.area)::DOUBLE AS db FROM cells x JOIN cells y ON x.fold_id = y.fold_id AND x.id < y.id GROUP BY 1),
+ t AS (SELECT fold_id, greatest(0, count(DISTINCT score) - count(DISTINCT area)) AS new_ties FROM cells GROUP BY 1) SELECT fold_id, round(s / sqrt(nullif(da * db, 0)), 6) AS tau_b, inversions, new_ties FROM t JOIN p USING (fold_id)""")
+def rank_agreement(spark, sf_dir):
+    return uncertainty.rank_agreement(cells(spark, sf_dir), CELL, "score", "area").withColumn("tau_b", F.round("tau_b", 6))
+
+
+_NEWTON = "n0 AS (SELECT DISTINCT fold_id, 0::DOUBLE AS i, 0::DOUBLE AS s FROM cells)" + "".join(
+    f""", s{k} AS (SELECT z.fold_id, i, s, z, y, 1 / (1 + exp(-(i + s * z))) AS p FROM z JOIN n{k} USING (fold_id)),
+ t{k} AS (SELECT fold_id, any_value(i) AS i, any_value(s) AS s, sum(p * (1 - p)) AS a, sum(p * (1 - p) * z) AS b, sum(p * (1 - p) * z * z) AS c, sum(y - p) AS g, sum((y - p) * z) AS h FROM s{k} GROUP BY 1),
+ n{k + 1} AS MATERIALIZED (SELECT fold_id, i + (c * g - b * h) / nullif(a * c - b * b, 0) AS i, s + (a * h - b * g) / nullif(a * c - b * b, 0) AS s FROM t{k})"""
+    for k in range(8)
+)
+
+
+@query(f"""WITH {_CELLS}, z AS MATERIALIZED (SELECT fold_id, label::DOUBLE AS y, ln(q / (1 - q)) AS z FROM (SELECT fold_id, label, least(greatest(score, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS q FROM cells)), {_NEWTON} SELECT fold_id, round(i, 6) AS intercept, round(s, 6) AS slope FROM n8""")
+def calibration_slope(spark, sf_dir):
+    return uncertainty.calibration_slope(cells(spark, sf_dir), CELL).withColumns({c: F.round(c, 6) for c in ("intercept", "slope")})
+
+
+_M = uncertainty.MODULUS
+_WEIGHT = " + ".join(f"(u >= {t!r}::DOUBLE)::BIGINT" for t in uncertainty.POISSON)
+
+
+@query(f"""WITH {_CELLS}, h AS (SELECT fold_id, scheme, rep, label, pow(score - label, 2) AS loss, (key % {_M} * 48271 + rep * 69621 + 11) % {_M} AS h FROM (SELECT *, unnest(['row', 'block']) AS scheme, unnest([id, establishment_id]) AS key FROM cells), range(1, 1001) AS r(rep)),
+ w AS (SELECT fold_id, scheme, rep, label, loss, {_WEIGHT} AS w FROM (SELECT *, ((h * h + 7) % {_M} * 16807) % {_M} / {_M}::DOUBLE AS u FROM h)),
+ d AS (SELECT fold_id, scheme, rep, CASE WHEN sum(w * label) > 0 AND sum(w * label) < sum(w) THEN sum(w * loss) / sum(w) END AS brier FROM w GROUP BY ALL)
+ SELECT fold_id, scheme, count(*) FILTER (WHERE brier IS NULL) AS degenerate, CASE WHEN count(brier) >= 950 THEN round(quantile_cont(brier, 0.025), 6) END AS low, CASE WHEN count(brier) >= 950 THEN round(quantile_cont(brier, 0.975), 6) END AS high FROM d GROUP BY ALL""")
+def bootstrap_brier(spark, sf_dir):
+    b = uncertainty.bootstrap_brier(cells(spark, sf_dir), CELL, {"row": "id", "block": "establishment_id"})
+    return b.withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
+@query(f"""WITH {_CELLS}, {_alloc_sql()}, said AS (SELECT fold_id, id, area, CASE WHEN id % 6 = 0 THEN 'accept' END AS decision, CASE WHEN id % 12 = 0 THEN 'local_knowledge' END AS reason FROM dec WHERE mechanism <> 'none'),
+ chk AS (SELECT fold_id, count(*) AS n_rows, count(decision) AS n_decided, count(*) - count(DISTINCT id) AS n_repeated, CAST(0 AS BIGINT) AS n_unranked, count(*) FILTER (WHERE area IS NULL) AS n_unplaced, count(*) FILTER (WHERE decision IS NOT NULL AND coalesce(reason, '') = '') AS n_unexplained FROM said GROUP BY 1)
+ SELECT *, n_repeated + n_unplaced + n_unexplained = 0 AS ready, CASE WHEN n_decided = 0 THEN 'draft' WHEN n_decided >= n_rows THEN 'adjusted' ELSE 'under_supervisor_review' END AS status FROM chk""")
+def approval_checks(spark, sf_dir):
+    plan = _plan(spark, sf_dir)[1].withColumns({"decision": F.when(F.col("id") % 6 == 0, "accept"), "reason": F.when(F.col("id") % 12 == 0, "local_knowledge")})
+    return uncertainty.approval_checks(plan, CELL)
