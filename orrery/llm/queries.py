@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import fresh_path
-from . import bpe, chat, covertree, langid, mixing, qalsh, quality, simhash, toxicity, warc
+from . import bpe, chat, covertree, langid, mixing, nearcopies, qalsh, quality, simhash, toxicity, warc
 from .rows import held_out, with_row_ids
 
 QUALITY_AT = 0.5
@@ -91,9 +91,12 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group: the one with the smallest id."""
+    """One document of every near-duplicate group: the one with the smallest id.
+
+    Groups hang together by a Jaccard similarity of 0.8 or more over 5-word shingles.
+    """
     rows = with_row_ids(docs)
-    groups = simhash.near_duplicates(rows, key="_rid")
+    groups = nearcopies.near_copies(rows, "_rid")
     ids = groups.join(rows.select("_rid", "doc_id"), "_rid")
     kept = ids.groupBy("component_id").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_rid"))).alias("_rid"))
     return rows.join(kept, "_rid", "left_semi").select(docs.columns)
