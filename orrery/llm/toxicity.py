@@ -42,8 +42,21 @@ IDENTITY = {
     "de": ["frauen", "männer", "muslime", "christen", "juden", "einwanderer", "flüchtlinge", "schwule", "lesben", "afrikaner"],
     "es": ["mujeres", "hombres", "musulmanes", "cristianos", "judíos", "inmigrantes", "refugiados", "homosexuales", "africanos", "asiáticos"],
 }
+# Other forms of the terms: they are the same feature.
+FORMS = {
+    "women": "woman", "men": "man", "muslims": "muslim", "christians": "christian", "jews": "jew", "hindus": "hindu", "immigrants": "immigrant", "refugees": "refugee", "gays": "gay",
+    "lesbians": "lesbian", "asians": "asian", "africans": "african", "europeans": "european", "mexicans": "mexican",
+    "femmes": "femme", "hommes": "homme", "musulmans": "musulman musulmanes musulmane", "chrétiens": "chrétien chrétiennes chrétienne", "juifs": "juif juives juive", "immigrés": "immigré immigrées immigrée",
+    "réfugiés": "réfugié réfugiées réfugiée", "homosexuels": "homosexuel homosexuelles homosexuelle", "africains": "africain africaines africaine", "asiatiques": "asiatique",
+    "frauen": "frau", "männer": "mann männern", "muslime": "muslimen muslimin muslima musliminnen", "christen": "christ christin christinnen", "juden": "jude jüdin jüdinnen", "einwanderer": "einwanderern einwanderin einwanderinnen",
+    "flüchtlinge": "flüchtling flüchtlingen", "schwule": "schwuler schwulen", "lesben": "lesbe", "afrikaner": "afrikanern afrikanerin afrikanerinnen",
+    "mujeres": "mujer", "hombres": "hombre", "musulmanes": "musulmán musulmana musulmanas", "cristianos": "cristiano cristiana cristianas", "judíos": "judío judía judías", "inmigrantes": "inmigrante",
+    "refugiados": "refugiado refugiada refugiadas", "homosexuales": "homosexual", "africanos": "africano africana africanas", "asiáticos": "asiático asiática asiáticas",
+}
 _GROUP = {term: lang for lang, terms in IDENTITY.items() for term in terms}
 _TERMS = list(_GROUP)
+# Each written form once; a form that is itself a term, or that two terms share, is the first one's.
+_FORM_OF = {form: i for i, term in reversed([*enumerate(_TERMS)]) for form in FORMS.get(term, "").split()} | {term: i for i, term in enumerate(_TERMS)}
 _SPACES = re.compile("[\u0080-\u00bf\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
 
 
@@ -57,9 +70,34 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _term_hashes() -> np.ndarray:
-    own = next(segments([" ".join(_TERMS)]))
-    return own.hashes(own.start, own.end)
+class _Listed:
+    """Hashes that are looked up among many others: a bucket's mark first, then the hash."""
+
+    def __init__(self, hashes: np.ndarray, value: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.value = hashes[order], value[order]
+        self.likely = np.zeros(BUCKETS, bool)
+        self.likely[_bucket(hashes)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of listed hashes, and their values."""
+        near = np.flatnonzero(self.likely[_bucket(hashes)])
+        place = np.minimum(np.searchsorted(self.hashes, hashes[near]), len(self.hashes) - 1)
+        hit = self.hashes[place] == hashes[near]
+        return near[hit], self.value[place[hit]]
+
+
+def _term_hashes() -> _Listed:
+    own = next(segments([" ".join(_FORM_OF)]))
+    return _Listed(own.hashes(own.start, own.end), np.array(list(_FORM_OF.values())))
+
+
+def _stem_hashes(n: int) -> _Listed:
+    """The first ``n`` bytes of every form that is as long."""
+    own = next(segments([" ".join(_FORM_OF)]))
+    start = own.start[own.end - own.start >= n]
+    hashes = np.unique(own.hashes(start, start + n, salt=n))
+    return _Listed(hashes, np.zeros(len(hashes), np.int64))
 
 
 SIZE = BUCKETS + len(_TERMS)
@@ -69,25 +107,26 @@ def features(texts: list[str | None], allowed: np.ndarray | None = None) -> list
     """The distinct features of each text, in order; identity terms come after the words.
 
     A feature is a word, or a stem of a longer word; with ``allowed`` only those marked.
+    A stem that an identity term has too is none, in whatever word: it would carry the
+    weight of the term past the swap.
     """
-    terms = _term_hashes()
-    order = np.argsort(terms)
-    likely = np.zeros(BUCKETS, bool)
-    likely[_bucket(terms)] = True
+    terms, roots = _term_hashes(), {n: _stem_hashes(n) for n in STEMS}
     keys = []
     for own in segments([_normal(t) for t in texts]):
         own = own.where(own.kind == LETTER)
         h = own.hashes(own.start, own.end)
         word = _bucket(h)
-        near = np.flatnonzero(likely[word])
-        place = order[np.minimum(np.searchsorted(terms, h[near], sorter=order), len(terms) - 1)]
-        hit = terms[place] == h[near]
-        word[near[hit]] = BUCKETS + place[hit]
+        hit, term = terms.find(h)
+        word[hit] = BUCKETS + term
         found = [(own.doc, word)]
         for n in STEMS:
             longer = own.end - own.start > n
+            longer[hit] = False
             start = own.start[longer]
-            found.append((own.doc[longer], _bucket(own.hashes(start, start + n, salt=n))))
+            stem = own.hashes(start, start + n, salt=n)
+            free = np.ones(len(stem), bool)
+            free[roots[n].find(stem)[0]] = False
+            found.append((own.doc[longer][free], _bucket(stem[free])))
         for doc, at in found:
             if allowed is not None:
                 keep = allowed[at]
