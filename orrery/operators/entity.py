@@ -18,16 +18,18 @@ def nodes(rows: DataFrame) -> DataFrame:
     return n.groupBy("node_id").agg(F.min("id").alias("lead_id"), F.count("*").alias("n_records"), *(F.min(c).alias(c) for c in ("name", "address", "zip", "licence")))
 
 
-def block_pairs(rows: DataFrame, keys: list[str], most: int = MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
+def block_pairs(rows: DataFrame, keys: list[str], most: int | None = MAX_BLOCK) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs ``a < b`` that share a block, and the blocks too large to pair.
 
     The limit is the operator's own rule: such blocks are recorded, not silently dropped.
+    With ``most`` None every block is paired, and none is recorded.
     """
     long = rows.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys))).alias("k")).select("id", "k.*").where("value is not null")
     size = long.groupBy("kind", "value").agg(F.count("*").alias("n"))
-    fit = long.join(size.where(F.col("n").between(2, most)), ["kind", "value"])
+    large = F.lit(False) if most is None else F.col("n") > most
+    fit = long.join(size.where((F.col("n") >= 2) & ~large), ["kind", "value"])
     pairs = fit.select("kind", "value", F.col("id").alias("a")).join(fit.select("kind", "value", F.col("id").alias("b")), ["kind", "value"]).where("a < b").select("a", "b").distinct()
-    return pairs, size.where(F.col("n") > most)
+    return pairs, size.where(large)
 
 
 def verdicts(pairs: DataFrame, rows: DataFrame) -> DataFrame:

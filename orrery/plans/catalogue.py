@@ -326,8 +326,9 @@ pairs AS (SELECT a.id AS a, b.id AS b FROM places a JOIN places b ON a.id < b.id
 
 
 def _pairs(spark, sf_dir):
+    # As in SQL, without a limit: a pair in a large block is a pair.
     p = _places(spark, sf_dir)
-    return entity.block_pairs(p.withColumn("spot", F.concat_ws("|", "address", "zip")), ["licence", "spot"])[0]
+    return entity.block_pairs(p.withColumn("spot", F.concat_ws("|", "address", "zip")), ["licence", "spot"], None)[0]
 
 
 @query(f"WITH {_PLACES} SELECT a, b FROM pairs")
