@@ -2,9 +2,10 @@
 
 Every block of vectors is projected on ``PROJECTIONS`` random lines, and each line keeps the
 block's rows in sorted order.  A query opens a window around its own place on every line and
-widens all windows together (virtual rehashing: no table is built for a radius).  A vector
-that lies in the windows of at least ``THRESHOLD`` of the lines is verified by its exact
-distance.  The search ends when ``k`` verified vectors are within the radius.
+widens all windows together along one grid of radii (virtual rehashing: no table is built for
+a radius).  A vector that lies in the windows of at least ``THRESHOLD`` of the lines is
+verified by its exact distance.  The search of a block ends when ``k`` verified vectors, of
+this block or of earlier ones, are within the radius.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .vectors import Best, clean, search
+from .vectors import Best, clean, places, search
 
-PROJECTIONS = 48
-#: Window width at radius 1; a vector at the radius is in a window with probability 0.86.
-WIDTH = 3.0
+PROJECTIONS = 192
+#: Window width at radius 1; a vector at the radius is in a window with probability 0.73.
+WIDTH = 2.2
 #: Part of the lines on which a vector must collide.
-THRESHOLD = 0.68
-GROWTH = 1.3
+THRESHOLD = 0.70
+#: Ratio of one radius of the grid to the one before.
+GROWTH = 1.04
+#: Windows begin at this part of the distance to the nearest of the block's first rows.
+START, START_ROWS = 0.75, 64
 SEED = 9
 
 
@@ -34,87 +37,113 @@ def lines(dim: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Rows in id order, and for each line the sorted places and the rows at them."""
+    """Rows in id order; for each line the sorted places, and every row's rank among them."""
 
     ids: np.ndarray
-    rows: np.ndarray
+    points: np.ndarray
     place: np.ndarray
-    order: np.ndarray
+    rank: np.ndarray
 
 
-def build(ids: np.ndarray, rows: np.ndarray) -> Block:
-    at = (rows @ lines(rows.shape[1])).T
-    order = np.argsort(at, axis=1, kind="stable")
-    return Block(ids, rows, np.take_along_axis(at, order, axis=1), order.astype(np.int32))
+@dataclass
+class Queries:
+    ids: np.ndarray
+    points: np.ndarray
+    own: np.ndarray
 
 
-class Search:
-    """The nearest ``k`` found for each query of one block."""
+def build(ids: np.ndarray, points: np.ndarray, own: np.ndarray) -> Block:
+    at = (points @ lines(points.shape[1])).T
+    order = np.argsort(at, axis=1, kind="stable")
+    rank = np.empty(order.shape, np.uint16)
+    np.put_along_axis(rank, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+    return Block(ids, points, np.take_along_axis(at, order, axis=1), rank)
 
-    def __init__(self, queries: tuple[np.ndarray, np.ndarray], k: int):
-        self.ids, self.rows = queries
-        self.k, self.best, self.verified = k, Best(len(self.ids), k), 0
-        self.at = self.rows @ lines(self.rows.shape[1])
 
-    def meet(self, block: Block) -> None:
-        need = math.ceil(THRESHOLD * PROJECTIONS)
+class Search:
+    """The nearest ``k`` found for each query of one part."""
+
+    def __init__(self, queries: Queries, k: int):
+        self.q, self.k, self.best = queries, k, Best(len(queries.ids), k)
+        self.at = queries.points @ lines(queries.points.shape[1])
+        self.need = math.ceil(THRESHOLD * PROJECTIONS)
+        #: Vectors verified by their distance, of all there are.
+        self.spent = {"verified": 0, "all": 0}
+
+    def meet(self, block: Block, number: int) -> None:
+        own = places(number, len(block.ids))
+        self.spent["all"] += len(self.q.ids) * len(block.ids)
+        kth = self.best.key[:, -1]
+        # Where earlier blocks gave k, one window does: up to the kth of them.
+        known = np.flatnonzero(np.isfinite(kth))
+        step = np.ceil(np.log(np.maximum(kth[known], 1e-300)) / math.log(GROWTH))
+        half = WIDTH / 2 * GROWTH**step
+        for at in range(0, len(known), 1024):
+            part = known[at : at + 1024]
+            left, right = self._windows(block, part, half[at : at + 1024])
+            for i, q in enumerate(part):
+                hit = np.flatnonzero(self._hits(block, left[:, i], right[:, i]) >= self.need)
+                self._verify(int(q), block, hit, own)
+        new = np.flatnonzero(~np.isfinite(kth))
+        for at in range(0, len(new), 1024):
+            self._grow(new[at : at + 1024], block, own)
+
+    def _windows(self, block: Block, queries: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows begin and end in every line's sorted places (lines x queries)."""
+        at = self.at[queries].T
+        left = np.stack([p.searchsorted(x, "left") for p, x in zip(block.place, at - half)])
+        return left, np.stack([p.searchsorted(x, "right") for p, x in zip(block.place, at + half)])
+
+    def _hits(self, block: Block, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """On how many lines every row stands inside the window."""
+        inside = block.rank - left.astype(np.uint16)[:, None] < (right - left).astype(np.uint16)[:, None]
+        return inside.sum(axis=0, dtype=np.uint16)
+
+    def _grow(self, queries: np.ndarray, block: Block, own: np.ndarray) -> None:
+        """Widen the windows of queries from a small radius until ``k`` are near enough.
+
+        They begin below the nearest of the block's first rows: about one row in ``START_ROWS``
+        is nearer, so little is verified in vain.
+        """
         n = len(block.ids)
-        start = self.rows @ block.rows[:16].T
-        start = np.sqrt(np.maximum((self.rows**2).sum(axis=1)[:, None] + (block.rows[:16] ** 2).sum(axis=1)[None, :] - 2 * start, 0)).min(axis=1) / 2
-        for q in range(len(self.ids)):
-            kth = self.best.key[q, -1]
-            radius = kth if np.isfinite(kth) else max(float(start[q]), 1e-12)
-            hits = np.zeros(n, np.int16)
-            seen = np.zeros(n, bool)
-            lo = hi = None
-            while True:
-                half = WIDTH / 2 * radius
-                left = np.array([np.searchsorted(p, x - half, "left") for p, x in zip(block.place, self.at[q])])
-                right = np.array([np.searchsorted(p, x + half, "right") for p, x in zip(block.place, self.at[q])])
-                for j in range(PROJECTIONS):
-                    order = block.order[j]
-                    if lo is None:
-                        hits[order[left[j] : right[j]]] += 1
-                    else:  # only what the wider window adds
-                        hits[order[left[j] : lo[j]]] += 1
-                        hits[order[hi[j] : right[j]]] += 1
-                lo, hi = left, right
-                new = np.flatnonzero((hits >= need) & ~seen)
-                if len(new):
-                    seen[new] = True
-                    self._verify(q, block, new)
-                kth = self.best.key[q, -1]
-                if kth <= radius or (right - left).min() == n:
-                    break
-                radius *= GROWTH
-
-    def _verify(self, q: int, block: Block, at: np.ndarray) -> None:
-        at = at[block.ids[at] != self.ids[q]]
-        self.verified += len(at)
-        away = block.rows[at] - self.rows[q]
-        d = np.sqrt((away * away).sum(axis=1))
-        near = d <= self.best.key[q, -1]
-        if near.any():
-            self.best.offer(q, d[near], block.ids[at][near])
-
-
-def nearest(table: DataFrame, every: int, k: int) -> DataFrame:
+        few = block.points[:START_ROWS]
+        step = np.empty(len(queries), np.int64)
+        for i, q in enumerate(queries):
+            apart = np.linalg.norm(few - self.q.points[q], axis=1)
+            apart = apart[apart > 0]
+            step[i] = math.floor(math.log(START * apart.min() if len(apart) else 1e-300, GROWTH))
+        seen = np.zeros((len(queries), n), bool)
+        active = np.arange(len(queries))
+        while len(active):
+            radius = GROWTH ** step[active].astype(np.float64)
+            left, right = self._windows(block, queries[active], WIDTH / 2 * radius)
+            for i, at in enumerate(active):
+                hits = self._hits(block, left[:, i], right[:, i])
+                found = np.flatnonzero((hits >= self.need) & ~seen[at])
+                seen[at, found] = True
+                self._verify(int(queries[at]), block, found, own)
+                # Far from any collision the grid is crossed faster.
+                step[at] += 1 if seen[at].any() or hits.max() * 2 > self.need else 8
+            done = (self.best.key[queries[active], -1] <= radius) | ((right - left).min(axis=0) == n)
+            active = active[~done]
+
+    def _verify(self, q: int, block: Block, at: np.ndarray, own: np.ndarray) -> None:
+        at = at[own[at] != self.q.own[q]]
+        self.spent["verified"] += len(at)
+        if len(at):
+            away = block.points[at] - self.q.points[q]
+            self.best.offer(np.array([q]), np.sqrt((away * away).sum(axis=1))[None, :], block.ids[at])
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        return self.best.found(self.q.own, self.q.ids)
+
+
+def nearest(table: DataFrame, every: int, k: int, spent: bool = False) -> DataFrame:
     """The ``k`` nearest rows found for every query, by exact Euclidean distance.
 
     Queries are the ids divisible by ``every``; every other row of the same length is
-    indexed and may be found.  Ties go to the smaller id and fewer candidates give fewer
-    rows; see ``vectors.clean`` for rows that take no part (zero vectors among them).
+    indexed and may be found.  Ties go to the smaller id and fewer candidates give fewer rows:
+    then all are found.  Rows that repeat an id are rows and queries of their own; see
+    ``vectors.clean`` for rows that take no part (zero vectors among them).
     """
-    rows = clean(table, zero=False)
-    return search(
-        rows,
-        rows.where(F.col("id") % every == 0),
-        build_data=build,
-        build_queries=lambda ids, v: (ids, v),
-        state=lambda queries: Search(queries, k),
-        step=lambda s, block: s.meet(block),
-        result=lambda s: s.best.found(s.ids),
-        score="double",
-        ascending=True,
-        k=k,
-    )
+    return search(clean(table, zero=False), every, build, Queries, lambda part: Search(part, k), "double", True, k, spent=spent)
