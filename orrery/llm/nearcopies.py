@@ -1,16 +1,19 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Rows with the same words are one node.  Min-hash bands only propose: 30 bands of 4 minima
-miss a pair of similarity 0.8 with probability 2e-7, a closer one with less.  Every link is
-then decided on the shingle sets themselves.  First each member of a band's bucket is held
-against the bucket's smallest node; a bucket whose members are one component after that,
-as with a large group of copies, is done.  In the others all pairs across components are
-compared: members outside the bucket's largest component are held, and all stream past.
+"""Near copies: SimHash candidates over five-word shingles, then exact Jaccard similarity.
+
+Rows with the same words are one node.  The fingerprint has ``LANES`` times 64 bits, taken over
+the distinct shingles, and two nodes are candidates within a radius that a pair of similarity
+0.8 keeps with probability 0.9997 (a closer one with more).  Sets of similarity 0.8 have sizes
+in that ratio, so tiles go by size class and meet themselves and the next.  The tiled
+comparison gives a forest of candidate links, and every link is then decided on the shingle
+sets.  A candidate component whose members are one component after that, as with a large
+group of copies, is done.  In the others members outside the largest part are held, so many
+at a time, and all members stream past them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +22,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components, with_least
+from ..operators.graph import connected_components
 from ..shared import stored
 from .rows import text_chunks
+from .simhash import bits, forest
 from .tokens import mixed
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 30, 4
+LANES = 4
+#: Bits of 256 that candidates may differ in: pairs of similarity 0.8 differ in 39 (sd 5.7); sets
+#: of a few shingles in up to 48 (sd 6.2).
+RADIUS, SMALL_RADIUS, SMALL = 58, 74, 32
+TILE_ROWS = 16_384
+#: Members of one candidate component that a task holds at a time.
+HELD = 512
 SEED = 42
-_rng = np.random.default_rng(SEED)
-_FACTOR = _rng.integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
-_SHIFT = _rng.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)[:, None]
-#: Shingles that are hashed by all functions at once.
-SLAB = 4096
 
 
 def shingles(tokens: list[bytes], words: int = WORDS) -> np.ndarray:
@@ -44,18 +49,9 @@ def shingles(tokens: list[bytes], words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(s, SEED) for s in each], dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One bucket for each band of min-hashes; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), SLAB):
-        np.minimum(least, (short[None, at : at + SLAB] * _FACTOR + _SHIFT).min(axis=1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_ROWS).T:
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1))
-    return key.view(np.int64)
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """``LANES`` times 64 bits by majority over distinct shingles; zeros for an empty set."""
+    return b"".join(bits(mixed(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))).tobytes() if len(hashes) else bytes(8) for lane in range(LANES))
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -71,10 +67,11 @@ def _marks(docs: DataFrame, key: str) -> DataFrame:
         for batch in text_chunks(batches):
             tokens = [_words(t) for t in batch.column("text").to_pylist()]
             digests = [hashlib.blake2b(b" ".join(t), digest_size=16).digest() for t in tokens]
-            found = [bands(shingles(t)) for t in tokens]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["node", "digest", "bands"])
+            sets = [shingles(t) for t in tokens]
+            columns = [batch.column("node"), pa.array(digests, pa.binary()), pa.array([fingerprint(x) for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "digest", "fp", "n"])
 
-    return docs.select(F.col(key).alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, digest binary, bands array<long>")
+    return docs.select(F.col(key).alias("node"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, digest binary, fp binary, n long")
 
 
 def _sets(docs: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
@@ -131,48 +128,63 @@ class _Held:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Links between components inside ``bucket``; ``role`` 0 is held, all stream past."""
+    """Links between parts inside ``bucket``; members ``outside`` its largest part are held,
+    ``HELD`` at a time by a hash, and all members stream past each lot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, held, out = None, [], None, []
         for batch in batches:
-            for bucket, role, node, part, s in zip(*(batch.column(c).to_pylist() for c in ("bucket", "role", "node", "part", "s"))):
-                if bucket != at:
-                    at, rows, held = bucket, [], None
+            for bucket, lot, role, node, part, s in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lot", "role", "node", "part", "s"))):
+                if (bucket, lot) != at:
+                    at, rows, held = (bucket, lot), [], None
                 own = np.frombuffer(s, np.uint64)
                 if role == 0:
                     rows.append((node, part, own))
                     continue
-                held = held or _Held(*map(list, zip(*rows)))
-                out.extend(held.links(node, part, own))
+                if rows:
+                    held = held or _Held(*map(list, zip(*rows)))
+                    out.extend(held.links(node, part, own))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["src", "dst"])
                 out = []
 
-    both = members.where("outside").withColumn("role", F.lit(0)).unionByName(members.withColumn("role", F.lit(1)))
-    dealt = both.select("bucket", "role", "node", "part", "s").repartition("bucket").sortWithinPartitions("bucket", "role", "node")
+    held = members.where("outside").withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots"))).withColumn("role", F.lit(0))
+    past = members.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).withColumn("role", F.lit(1))
+    dealt = held.unionByName(past).select("bucket", "lot", "role", "node", "part", "s").repartition("bucket", "lot").sortWithinPartitions("bucket", "lot", "role", "node")
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """A forest of links between ``least`` of nodes whose ``fp`` are near and sizes ``n`` alike."""
+    base = 1 / SIMILARITY
+    # A little above the ratio, so that rounding never parts a pair at exactly the similarity.
+    tile = F.floor(F.log(F.col("n").cast("double")) / math.log(base * 1.0001)).cast("int")
+    small = math.ceil(math.log(SMALL, base))
+    rows = nodes.where("n > 0").select(F.col("least").alias("node"), "fp", tile.alias("tile"))
+    return forest(rows, [1], LANES, [(small, SMALL_RADIUS), (1 << 31, RADIUS)], TILE_ROWS)
+
+
 def near_copies(docs: DataFrame, key: str) -> DataFrame:
     """Every row's ``key`` (a unique long) and ``component_id``, the smallest key reachable over
-    pairs of similarity ``SIMILARITY`` or more.  Null texts and texts without words are alike."""
+    pairs of similarity ``SIMILARITY`` or more.
+
+    Null texts and texts without words are alike, and like no other.  Texts of fewer than
+    ``WORDS`` words are one shingle.  Repeated rows are copies; an empty table gives no rows.
+    """
     marks = stored(_marks(docs, key), "marks")
-    nodes = stored(marks.groupBy("digest").agg(F.min("node").alias("least")), "distinct-texts")
-    buckets = marks.join(nodes.select(F.col("least").alias("node")), "node", "left_semi").select("node", F.explode("bands").alias("bucket"))
-    # Buckets with one member go here, and with them nearly all rows.
-    met = stored(with_least(buckets, "bucket", "node", "node", "first").where("node <> first"), "met")
-    pairs = met.select(F.col("first").alias("src"), F.col("node").alias("dst")).distinct()
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = stored(marks.groupBy("digest").agg(F.min("node").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")), "distinct-texts")
+    found = stored(candidates(nodes), "candidates")
+    ends = found.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     sets = stored(_sets(docs, key, ends), "sets")
-    links = stored(_verified(pairs, sets, SIMILARITY), "links")
+    links = stored(_verified(found, sets, SIMILARITY), "links")
     parts = connected_components(links).withColumnRenamed("label", "part")
 
-    members = met.select("bucket", "node").unionByName(met.select("bucket", F.col("first").alias("node")).distinct())
+    members = connected_components(found).select("node", F.col("label").alias("bucket"))
     members = stored(members.join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part")), "members")
     count = members.groupBy("bucket", "part").count()
-    mixed_up = count.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("major"), F.count("*").alias("k")).where("k > 1")
-    open_ = members.join(mixed_up.select("bucket", "major"), "bucket").select("bucket", "node", "part", (F.col("part") != F.col("major")).alias("outside"))
+    mixed_up = count.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("major"), F.count("*").alias("k"), F.sum("count").alias("all"), F.max("count").alias("most")).where("k > 1")
+    lots = F.ceil((F.col("all") - F.col("most")) / HELD).alias("lots")
+    open_ = members.join(mixed_up.select("bucket", "major", lots), "bucket").select("bucket", "lots", "node", "part", (F.col("part") != F.col("major")).alias("outside"))
     more = _across(open_.join(sets, "node"))
     labels = connected_components(links.unionByName(more))
     named = nodes.join(labels, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("label", "least").alias("component_id"))

@@ -1,11 +1,12 @@
 """SimHash near-duplicates: tiled exact comparison with exclusive-or and bit counts.
 
-A tile holds the fingerprints that have the same four population counts, one for each
-quarter of the 64 bits.  Two fingerprints that differ in at most r bits have counts that
-differ by at most r in total, so all other tile pairs are skipped without loss.  Equal
-fingerprints are compared once, whatever the number of their copies, and a tile with more
-than ``TILE_ROWS`` fingerprints is split by a hash.  Every tile reports a spanning forest of
-its links, never all pairs, and a distributed components operator joins the forests.
+For short radii a tile holds the fingerprints that have the same four population counts, one
+for each quarter of the 64 bits.  Two fingerprints that differ in at most r bits have counts
+that differ by at most r in total, so all other tile pairs are skipped without loss.  For
+long radii tiles go by size class, and what a tile's sorted population counts put beyond the
+radius is skipped.  A tile travels as one blob of fingerprints; one with more than
+``TILE_ROWS`` is split by a hash.  Every tile reports a spanning forest of its links, never all
+pairs, and a distributed components operator joins the forests.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, with_least
@@ -30,6 +31,17 @@ SEED = 42
 TILE_ROWS = 4096
 QUARTERS = 4
 QUARTER_BITS = 16
+#: Where a fingerprint has several lanes, pairs further apart than this on the first are dropped.
+LANE_RADIUS = 23
+
+
+def bits(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits (as one number) that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = np.ascontiguousarray(hashes[at : at + 65536])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
@@ -42,12 +54,7 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     else:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return int(bits(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -71,19 +78,30 @@ def _neighbours(radius: int) -> list[tuple[int, ...]]:
 
 
 class _Tile:
-    """The fingerprints of one tile, and which of them are known to hang together."""
+    """The fingerprints of one tile (rows x lanes), and which are known to hang together."""
 
-    def __init__(self, fps: np.ndarray, radius: int):
-        self.fps, self.radius, self.label = fps, radius, np.arange(len(fps))
+    def __init__(self, nodes: np.ndarray, fps: np.ndarray, radius: int, lane_radius: int):
+        count = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+        order = np.argsort(count, kind="stable")
+        self.nodes, self.fps, self.count = nodes[order], fps[order], count[order]
+        self.radius, self.lane_radius, self.label = radius, lane_radius, np.arange(len(fps))
 
-    def near(self, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (other, own) within the radius, a slab at a time."""
+    def near(self, others: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs (other, own) within the radius, a slab at a time; ``count`` ascends."""
         step = max(1, (1 << 20) // max(1, len(self.fps)))
         for at in range(0, len(others), step):
-            apart = np.bitwise_count(others[at : at + step, None] ^ self.fps[None, :])
-            i, j = np.nonzero(apart <= self.radius)
+            part = others[at : at + step]
+            first, last = self.count.searchsorted(count[at] - self.radius, "left"), self.count.searchsorted(count[at : at + step][-1] + self.radius, "right")
+            own = self.fps[first:last]
+            apart = np.bitwise_count(part[:, None, 0] ^ own[None, :, 0])
+            if own.shape[1] == 1:
+                i, j = np.nonzero(apart <= self.radius)
+            else:  # a few get past the first lane, and all lanes decide on those
+                i, j = np.nonzero(apart <= self.lane_radius)
+                near = np.bitwise_count(part[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= self.radius
+                i, j = i[near], j[near]
             if len(i):
-                yield i + at, j
+                yield i + at, j + first
 
     def join(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
         """Join own fingerprints pairwise; the links that were news."""
@@ -103,83 +121,131 @@ class _Tile:
                 root = root[root]
             self.label = root[self.label]
 
-    def own_links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i, j in self.near(self.fps):
+    def own_links(self) -> Iterator[tuple[int, int]]:
+        for i, j in self.near(self.fps, self.count):
             for a, b in self.join(i, j):
-                yield self.fps[a], self.fps[b]
+                yield self.nodes[a], self.nodes[b]
 
-    def links_to(self, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links_to(self, nodes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
         """One link for each other fingerprint that is near, plus what it joins here."""
-        for i, j in self.near(others):
+        count = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
+        order = np.argsort(count, kind="stable")
+        nodes, fps = nodes[order], fps[order]
+        for i, j in self.near(fps, count[order]):
             _, first, of = np.unique(i, return_index=True, return_inverse=True)
             for a, b in zip(i[first], j[first]):
-                yield others[a], self.fps[b]
+                yield nodes[a], self.nodes[b]
             for a, b in self.join(j, j[first][of]):
-                yield self.fps[a], self.fps[b]
+                yield self.nodes[a], self.nodes[b]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A spanning forest (``src``, ``dst``) of all pairs of distinct ``fp`` within ``radius``."""
-    counts = [F.bit_count(F.shiftrightunsigned("fp", q * QUARTER_BITS).bitwiseAND(F.lit((1 << QUARTER_BITS) - 1))) for q in range(QUARTERS)]
-    base = QUARTER_BITS + 1
-    key = sum((c.cast("int") * base ** (QUARTERS - 1 - q) for q, c in enumerate(counts)), F.lit(0)).alias("tile")
-    own = fps.select("fp", key, *(c.cast("int").alias(f"c{q}") for q, c in enumerate(counts)))
-    # 17 ** 4 tiles at most, whatever the input: safe to broadcast.
-    size = own.groupBy("tile").count().select("tile", F.ceil(F.col("count") / TILE_ROWS).cast("int").alias("salts"))
-    sized = own.join(F.broadcast(size), "tile")
-    home = sized.select("tile", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"), "fp")
-    # Within one split tile every salt also meets the others.
-    split = sized.where("salts > 1").select("tile", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("role"), "fp")
-    offsets = _neighbours(radius)
-    steps = F.array(*(F.struct(F.lit(sum(x * base ** (QUARTERS - 1 - q) for q, x in enumerate(d))).alias("step"), *(F.lit(x).alias(f"d{q}") for q, x in enumerate(d))) for d in offsets))
-    inside = " and ".join(f"c{q} + d.d{q} between 0 and {QUARTER_BITS}" for q in range(QUARTERS))
-    away = own.withColumn("d", F.explode(steps)).where(inside).select((F.col("tile") + F.col("d.step")).alias("tile"), "fp")
-    away = away.join(F.broadcast(size), "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("role"), "fp")
-    dealt = home.unionByName(split).unionByName(away).repartition("tile", "salt").sortWithinPartitions("tile", "salt", "role")
+def _runs(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[int, int]]:
+    """Stretches of equal values in sorted columns."""
+    change = np.zeros(max(0, batch.num_rows - 1), bool)
+    for c in columns:
+        change |= np.diff(batch.column(c).to_numpy()) != 0
+    cuts = np.flatnonzero(change) + 1
+    yield from ((lo, hi) for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]) if hi > lo)
+
+
+def forest(rows: DataFrame, near: list[int] | Column, lanes: int, radius: list[tuple[int, int]] | int, tile_rows: int) -> DataFrame:
+    """A spanning forest (``src``, ``dst``) of all pairs of ``node`` whose ``fp`` are within the radius.
+
+    ``rows``: node long, fp binary (``lanes`` times 8 bytes), tile int.  A tile is compared with
+    itself and with the tiles in ``near``, offsets or an array column.  The number of tiles is
+    bounded by the caller's key, so their sizes may be broadcast.
+    """
+    size = rows.groupBy("tile").count().select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("salts"))
+    size = stored(size, "tile-sizes")
+    dealt = rows.join(F.broadcast(size), "tile").select("tile", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "fp")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            nodes, fps = (b"".join(x) for x in zip(*held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([nodes]), pa.array([fps])], names=["tile", "salt", "nodes", "fps"])
+
+        for batch in batches:
+            tile, salt, nodes = (batch.column(c).to_numpy() for c in ("tile", "salt", "node"))
+            for lo, hi in _runs(batch, "tile", "salt"):
+                if held and at != (tile[lo], salt[lo]):
+                    yield flush()
+                at = (tile[lo], salt[lo])
+                held.append((nodes[lo:hi].astype("<i8").tobytes(), b"".join(batch.column("fp").slice(lo, hi - lo).to_pylist())))
+        if held:
+            yield flush()
+
+    packed = dealt.repartition("tile", "salt").sortWithinPartitions("tile", "salt").mapInArrow(pack, "tile int, salt int, nodes binary, fps binary")
+    packed = stored(packed, "tiles")
+    home = packed.withColumn("role", F.lit(0))
+    # Within one split tile every part also meets the later ones.
+    split = packed.join(F.broadcast(size.where("salts > 1")), "tile").where("salt + 1 < salts")
+    split = split.withColumn("salt", F.explode(F.sequence(F.col("salt") + 1, F.col("salts") - 1))).withColumn("role", F.lit(1)).drop("salts")
+    others = F.array(*(F.col("tile") + d for d in near)) if isinstance(near, list) else near
+    away = packed.withColumn("tile", F.explode(others)).drop("salt").join(F.broadcast(size), "tile")
+    away = away.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("role", F.lit(1)).drop("salts")
+    units = home.unionByName(split).unionByName(away).repartition("tile", "salt").sortWithinPartitions("tile", "salt", "role")
+    # Upper ends of tile numbers, each with the radius below it.
+    limits = [(1 << 31, radius)] if isinstance(radius, int) else radius
+
+    def radius_of(tile: int) -> int:
+        return next(r for below, r in limits if tile < below)
+
+    def unpacked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        nodes, fps = (b"".join(part.column(c).to_pylist()) for c in ("nodes", "fps"))
+        return np.frombuffer(nodes, "<i8"), np.frombuffer(fps, "<u8").reshape(-1, lanes)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, tile = None, [], None
+        at, own = None, None
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            pair = np.array(out, dtype="<u8").reshape(-1, 2).view("<i8")
+            pair = np.array(out, dtype="<i8").reshape(-1, 2)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["src", "dst"])
 
-        def close() -> _Tile | None:
-            own = _Tile(np.concatenate(held), radius) if held else None
-            held.clear()
-            if own:
-                out.extend(own.own_links())
-            return own
-
         for batch in batches:
-            unit = batch.column("tile").to_numpy().astype(np.int64) << 32 | batch.column("salt").to_numpy()
-            role = batch.column("role").to_numpy()
-            fp = batch.column("fp").to_numpy().view("<u8")
-            cuts = np.flatnonzero(np.diff(unit * 2 + role)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(unit)]):
-                if hi <= lo:
-                    continue
-                if at != unit[lo]:
-                    if held:
-                        close()
-                    at, tile = unit[lo], None
-                if role[lo] == 0:
-                    held.append(fp[lo:hi])
-                else:
-                    if held:
-                        tile = close()
-                    if tile is not None:
-                        out.extend(tile.links_to(fp[lo:hi]))
-                if len(out) > 50_000:
-                    yield flush()
-        if held:
-            close()
+            tile, salt, role = (batch.column(c).to_numpy() for c in ("tile", "salt", "role"))
+            for lo, hi in _runs(batch, "tile", "salt", "role"):
+                if at != (tile[lo], salt[lo]):
+                    at, own = (tile[lo], salt[lo]), None
+                for x in range(lo, hi, 64):
+                    nodes, fps = unpacked(batch.slice(x, min(64, hi - x)))
+                    if role[lo] == 0:
+                        r = radius_of(int(tile[lo]))
+                        own = _Tile(nodes, fps, r, min(r, LANE_RADIUS))
+                        out.extend(own.own_links())
+                    elif own is not None:
+                        out.extend(own.links_to(nodes, fps))
+                    if len(out) > 50_000:
+                        yield flush()
         if out:
             yield flush()
 
-    return dealt.mapInArrow(compare, "src long, dst long").distinct()
+    return units.select("tile", "salt", "role", "nodes", "fps").mapInArrow(compare, "src long, dst long").distinct()
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """A spanning forest (``src``, ``dst``) of all pairs of distinct ``fp`` within ``radius``."""
+    counts = [F.bit_count(F.shiftrightunsigned("fp", q * QUARTER_BITS).bitwiseAND(F.lit((1 << QUARTER_BITS) - 1))) for q in range(QUARTERS)]
+    base = QUARTER_BITS + 1  # 17 ** 4 tiles at most, whatever the input
+    power = [base ** (QUARTERS - 1 - q) for q in range(QUARTERS)]
+    key = sum((c.cast("int") * power[q] for q, c in enumerate(counts)), F.lit(0))
+    # to_binary of the number's hex digits, bytes turned round: the blob's little-endian order.
+    blob = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    blob = F.concat(*(F.substring(blob, 8 - i, 1) for i in range(8)))
+    rows = fps.select(F.col("fp").alias("node"), blob.alias("fp"), key.cast("int").alias("tile"))
+    digit = [F.pmod(F.floor(F.col("tile") / power[q]), F.lit(base)) for q in range(QUARTERS)]
+    steps = []
+    for d in _neighbours(radius):
+        inside = F.lit(True)
+        for q, x in enumerate(d):
+            if x:
+                inside = inside & (digit[q] + x).between(0, QUARTER_BITS)
+        steps.append(F.when(inside, F.col("tile") + sum(x * power[q] for q, x in enumerate(d))))
+    return forest(rows, F.array_compact(F.array(*steps)), 1, radius, TILE_ROWS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
