@@ -12,7 +12,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +23,8 @@ from .rows import text_chunks
 #: Pre-tokens remembered by a worker; longer ones than CACHED_CHARS are not remembered.
 CACHE_ENTRIES = 600_000
 CACHED_CHARS = 48
+#: Texts up to this length are cut into pre-tokens whole.
+LONG_CHARS = 1_000_000
 _FIRST = 0x100
 _SPELT = {b: _FIRST + b for b in range(256)}
 
@@ -82,7 +84,7 @@ class Codec:
         import regex
         import sentencepiece
 
-        self.cut = regex.compile(pattern).findall
+        self.cut, self.each = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ranks = ranks
         self.tokens = [b""] * len(ranks)
@@ -100,8 +102,21 @@ class Codec:
             self.known[word] = (shared[whole],) if whole is not None else tuple([shared[i - 1] for i in ids])
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of every text; pre-tokens that are new are encoded together."""
-        cut = [self.cut(t) if t else [] for t in texts]
+        """The ids of every text; pre-tokens that are new are encoded together.
+
+        Of a text longer than ``LONG_CHARS`` the pre-tokens are taken so many at a time, so
+        that only its ids are held whole.
+        """
+        long = [i for i, t in enumerate(texts) if t and len(t) > LONG_CHARS]
+        cut = [self.cut(t) if t and len(t) <= LONG_CHARS else [] for t in texts]
+        out = self._encode(cut)
+        for i in long:
+            matches = (m.group() for m in self.each(texts[i]))
+            while part := list(islice(matches, LONG_CHARS // 4)):
+                out[i].extend(self._encode([part])[0])
+        return out
+
+    def _encode(self, cut: list[list[str]]) -> list[list[int]]:
         known = self.known
         words = set().union(*cut)
         new = words.difference(known)
@@ -164,21 +179,31 @@ def decode(coded: DataFrame, path: str, pattern: str, key: str = "doc_id") -> Da
     return coded.select(F.col(key).alias("key"), "ids").mapInArrow(run, f"key {kind}, data binary").withColumnRenamed("key", key)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256`` of every whole text, encoded and decoded.
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256`` of every whole text, encoded and decoded,
+    and with ``with_ids`` the ``ids`` themselves.
 
-    A null text is the empty one: no tokens.  Repeated rows and null keys keep their rows.
+    A null text is the empty one: no tokens.  Repeated rows and null keys keep their rows, other
+    columns are left out, and an empty table gives an empty one.  A task holds the ids of one
+    long text, about 40 bytes for each, and not its pre-tokens.
     """
     codec = _codec(docs.sparkSession, path, pattern)
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            rows = []
+            n, coded, back, kept = [], [], [], []
             for ids in codec().encode(batch.column("text").to_pylist()):
-                rows.append((len(ids), hashlib.sha256(codec().listed(ids).encode()).hexdigest(), hashlib.sha256(codec().decode(ids)).hexdigest()))
-            n, coded, back = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(coded), pa.array(back)], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+                n.append(len(ids)), coded.append(hashlib.sha256(codec().listed(ids).encode()).hexdigest())
+                back.append(hashlib.sha256(codec().decode(ids)).hexdigest())
+                if with_ids:
+                    kept.append(pa.array(ids, pa.int32()))
+            columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(coded), pa.array(back)]
+            if with_ids:
+                offsets = pa.array(list(accumulate(map(len, kept), initial=0)), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(kept)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("key", key)

@@ -570,12 +570,23 @@ def read_back(turns: DataFrame) -> DataFrame:
     """Format with ``TURNS``, read the output again, and sum up what came back.
 
     One row a conversation: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
-    formatted_chars``.  Cases as in ``format_conversations``; an empty table gives no rows.
+    formatted_chars``.  Cases as in ``format_conversations``; an empty table gives no rows.  A
+    conversation is read by one task, since its digests go in order, but as a stream: what is
+    held is one turn.  Other columns are left out.
     """
     render = compile_template(TURNS)
 
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for conv, stream in _conversations(batches):
             reader, n, total, lost = TurnReader(), 0, 0, 0
             all_turns, loss = hashlib.sha256(), hashlib.sha256()
@@ -591,9 +602,9 @@ def read_back(turns: DataFrame) -> DataFrame:
             if reader.rest:
                 raise ValueError("the output ends inside a turn")
             rows.append((conv, n, all_turns.hexdigest(), lost, loss.hexdigest(), total))
+            if len(rows) >= 1000:
+                yield flush()
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            yield flush()
 
     return _dealt(turns).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -13,11 +13,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .rows import summed, text_chunks
+from .rows import summed, text_chunks, with_outputs
 
 GRAM = 3
+#: A long text is worked on in pieces of about so many characters.
+PIECE_CHARS = 1_000_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 EM_STEPS = 12
@@ -42,6 +43,22 @@ def grams(text: str) -> np.ndarray:
     return (h >> np.uint32(16)).astype(np.int64)
 
 
+def counted(text: str) -> np.ndarray:
+    """How often every bucket's n-grams are in a whole text, which is read in pieces that end
+    at a space: n-grams never reach over one."""
+    if len(text) <= PIECE_CHARS:
+        return np.bincount(grams(text), minlength=BUCKETS)
+    total, at = np.zeros(BUCKETS, np.int64), 0
+    while at < len(text):
+        end = len(text)
+        if end - at > PIECE_CHARS:
+            end = text.find(" ", at + PIECE_CHARS)
+            end = len(text) if end < 0 else end
+        total += np.bincount(grams(text[at:end]), minlength=BUCKETS)
+        at = end
+    return total
+
+
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-likelihoods (buckets x languages), from all given rows.
 
@@ -54,10 +71,13 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for batch in text_chunks(batches):
             by_lang: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                by_lang.setdefault(lang, []).append(grams(text))
-            for lang, found in by_lang.items():
                 table = tables.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                table += np.bincount(np.concatenate(found), minlength=BUCKETS)
+                if len(text) > PIECE_CHARS:
+                    table += counted(text)
+                else:
+                    by_lang.setdefault(lang, []).append(grams(text))
+            for lang, found in by_lang.items():
+                tables[lang] += np.bincount(np.concatenate(found), minlength=BUCKETS)
         return tables
 
     tables = summed(docs.where("text is not null and lang is not null").select("lang", "text"), count, BUCKETS // 16)
@@ -81,7 +101,7 @@ def infer(text: str | None, model: np.ndarray) -> np.ndarray | None:
     """Shares of the languages in one text; None if it is null or has no letter."""
     if not text or not model.shape[1] or not any(map(str.isalpha, text)):
         return None
-    found = np.bincount(grams(text), minlength=BUCKETS)
+    found = counted(text)
     at = np.flatnonzero(found)
     if not len(at):
         return None
@@ -121,26 +141,23 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, *keep: str) ->
     """``keep`` columns, ``lang_pred``, ``score`` (its share) and ``lang_shares`` of whole texts.
 
     A null text, or one without a letter, is ``und`` with score 0.  Ties go to the language
-    that sorts first.  What is broadcast is a table of buckets x languages.
+    that sorts first.  A long text is counted in pieces, whole; repeated rows keep their rows;
+    an empty table gives an empty one; an output whose name a kept column has gets an
+    underscore.  What is broadcast is a table of buckets x languages (256 KB a language).
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "_text"):
-            preds, scores, sets = [], [], []
-            for text in batch.column("_text").to_pylist():
-                share = infer(text, sent.value)
-                if share is None:
-                    preds.append(UNKNOWN), scores.append(0.0), sets.append([])
-                else:
-                    share = share / share.sum()
-                    top = int(np.argmax(share))
-                    preds.append(langs[top]), scores.append(min(1.0, float(share[top])))
-                    sets.append([(langs[i], float(share[i])) for i in np.flatnonzero(share > 0)])
-            own = pa.array([[{"lang": a, "share": b} for a, b in s] for s in sets], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(preds), pa.array(scores), own], names=[*keep, "lang_pred", "score", "lang_shares"])
-
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", lang_pred string, score double, lang_shares array<struct<lang: string, share: double>>"
-    return rows.mapInArrow(run, schema.lstrip(", "))
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        preds, scores, sets = [], [], []
+        for text in texts:
+            share = infer(text, sent.value)
+            if share is None:
+                preds.append(UNKNOWN), scores.append(0.0), sets.append([])
+            else:
+                share = share / share.sum()
+                top = int(np.argmax(share))
+                preds.append(langs[top]), scores.append(min(1.0, float(share[top])))
+                sets.append([{"lang": langs[i], "share": float(share[i])} for i in np.flatnonzero(share > 0)])
+        return [pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]
+
+    return with_outputs(docs, keep, {"lang_pred": "string", "score": "double", "lang_shares": "array<struct<lang: string, share: double>>"}, work)

@@ -7,8 +7,10 @@ permutation of its block indices maps them to blocks, and a join on the index fe
 A second pass over a source uses a second permutation, so no block is taken more often than
 the target needs.  The last slot is cut so that the words taken meet the target to the word.
 
-Sums along a source are taken in two levels, so no task holds more than ``RUN_ROWS`` rows of
-one source; the only table in one place has one row for each source.
+Sums along a source are taken in three levels: in runs of about ``RUN_ROWS`` rows, over the
+runs of a range, and over the ranges, so no task holds all rows of one source.  Rows that are
+equal are numbered and spread like any others.  The only table in one place has one row for
+each source.
 """
 
 from __future__ import annotations
@@ -17,10 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import stored
+from .rows import column
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
-RUN_ROWS = 8192
+RUN_ROWS = 1024
+#: Runs of one range.
+RANGE_RUNS = 4096
+#: Slots that one task expands.
+TASK_SLOTS = 16_384
 ROUNDS = 16
 SEED = 2
 #: Rows of a source table that may be broadcast; larger ones are joined by shuffling.
@@ -80,21 +87,45 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, li
     return s.withColumn("first", first).drop("weight", "budget", "cap", "level", "capped")
 
 
-def _running(rows: DataFrame, key: str, run: str, order: list, value: str, name: str) -> DataFrame:
+def _running(rows: DataFrame, key: str, run: str, order: list, value: str, name: str, ranges: bool = True) -> DataFrame:
     """``name``: the sum of ``value`` over the rows of ``key`` that come earlier by run, then
-    order; first over the runs' totals, then inside a run."""
+    order.  The totals of the runs are summed the same way, range by range."""
     totals = rows.groupBy(key, run).agg(F.sum(value).alias("_total"))
-    earlier = Window.partitionBy(key).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(key, run, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    if ranges:
+        totals = totals.withColumn("_range", F.floor(F.col(run) / RANGE_RUNS))
+        starts = _running(totals, key, "_range", [F.col(run)], "_total", "_begin", False).select(key, run, F.col("_begin").alias("_start"))
+    else:
+        earlier = Window.partitionBy(key).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.select(key, run, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(key, run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return own.join(starts, [key, run]).withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
 
 
-def _draw(sources: DataFrame, slots: int, few: bool) -> DataFrame:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``copy``: rows that are equal in ``nth, doc_id, size, tie`` numbered from 0.
+
+    They are numbered inside each input part (``_rid`` holds it), after the sum of the parts
+    before, so equal rows are never gathered.
+    """
+    same = ["nth", "doc_id", "size", "tie"]
+    part = rows.withColumn("_part", F.shiftright("_rid", 33))
+    inside = Window.partitionBy(*same, "_part")
+    part = part.withColumn("_at", F.row_number().over(inside.orderBy("_rid"))).withColumn("_n", F.count("*").over(inside))
+    # Only the heads of parts count here, and of those only the ones with company elsewhere.
+    heads = part.where("_at = 1").select(*same, "_part", "_n", F.coalesce(F.sum("_n").over(Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    heads = heads.where("_before > 0").select(*(F.col(c).alias(f"_{c}") for c in same), F.col("_part").alias("_p"), "_before")
+    on = F.col("_part") == F.col("_p")
+    for c in same:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return part.join(heads, on, "left").withColumn("copy", F.coalesce("_before", F.lit(0)) + F.col("_at") - 1).drop("_part", "_at", "_n", "_p", "_before", *(f"_{c}" for c in same))
+
+
+def _draw(sources: DataFrame, slots: int, n_sources: int, few: bool) -> DataFrame:
     """``shard, slot, nth, pass, block, words`` of every slot of the mix."""
     spark = sources.sparkSession
-    width = max(1, -(-slots // 1024))
+    # A draw meets the few sources of its part; at most 1024 parts are broadcast.
+    width = max(1, -(-slots // max(1024, n_sources)))
     spread = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.col("slots") - 1) / width)))
     ranges = sources.where("slots > 0").select("nth", "first", "slots", spread.alias("part"))
     ticket = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(1, slots)))
@@ -113,6 +144,8 @@ def _draw(sources: DataFrame, slots: int, few: bool) -> DataFrame:
     lack = lack.withColumn("start", F.col("start") + F.col("piece") * SHARD_SLOTS).withColumn("n", F.least(F.lit(SHARD_SLOTS), F.col("slots") - F.col("start")))
     cols = ["nth", "shard", "start", "n", "blocks", "deficit", "full", "rest", "short_at"]
     both = dealt.select(cols).unionByName(lack.withColumn("shard", F.col("piece") + -(-slots // SHARD_SLOTS)).select(cols))
+    # The counts are few bytes and expand to many rows, so they are dealt out first.
+    both = both.repartition(min(65_536, max(1, -(-slots // TASK_SLOTS))), "nth", "start")
     s = both.withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
     s = s.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("at", F.pmod("slot", F.col("blocks")))
     s = s.withColumn("block", permuted(F.col("at"), F.col("blocks"), F.col("nth"), F.col("pass")))
@@ -138,11 +171,11 @@ def mix(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = sources.select(F.col("source").alias("_s"), "nth")
     own = rows.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     runs = max(1, -(-n_rows // RUN_ROWS))
-    own = own.withColumn("run", F.pmod(F.xxhash64("doc_id", "tie", F.lit(SEED)), F.lit(runs)))
-    placed = _running(own, "nth", "run", [F.xxhash64("doc_id", "tie"), F.col("doc_id"), F.col("size"), F.col("_rid")], "size", "at")
+    own = _numbered(own).withColumn("run", F.pmod(F.xxhash64("doc_id", "tie", "copy", F.lit(SEED)), F.lit(runs)))
+    placed = _running(own, "nth", "run", [F.xxhash64("doc_id", "tie", "copy"), F.col("doc_id"), F.col("size"), F.col("copy")], "size", "at")
     reach = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / BLOCK_WORDS), F.floor((F.col("at") + F.col("size") - 1) / BLOCK_WORDS)))
     cover = placed.withColumn("block", F.explode_outer(reach))
-    drawn = _draw(sources, slots, few)
+    drawn = _draw(sources, slots, n_sources, few)
     taken = drawn.groupBy("nth", "block").agg(F.count_if(F.col("words") == F.col("size")).alias("whole"), F.max(F.when(F.col("words") < F.col("size"), F.col("words"))).alias("cut"))
     pieces = cover.join(taken, ["nth", "block"], "left")
     start = F.col("block") * BLOCK_WORDS
@@ -175,13 +208,16 @@ def mixed(docs: DataFrame) -> DataFrame:
     return per.join(F.broadcast(known) if few else known, "nth").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-def mixed_texts(rows: DataFrame) -> DataFrame:
-    """The mix itself: ``rows`` (stored, with ``_rid``) as often as they are taken.
+def mixed_texts(rows: DataFrame, rid: str) -> DataFrame:
+    """The mix itself: ``rows`` (stored, with the unique long ``rid``) as often as they are taken.
 
     A document taken whole keeps its text to the byte; of one taken in part the words of the
     taken blocks remain, joined by single spaces; words taken twice come in a second row.
+    ``n_chars`` follows the text, all other columns stay.  Null and empty texts are never
+    taken; repeated rows are rows of their own; an empty table gives an empty one.
     """
-    sizes = rows.select("_rid", "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    inner = rows.select(column(rid).alias("_rid"), F.struct(*(column(c).alias(f"c{i}") for i, c in enumerate(rows.columns))).alias("_row"), F.col("text").alias("_text"), "doc_id", "source")
+    sizes = inner.select("_rid", "doc_id", "source", words(F.col("_text")).alias("size"), F.xxhash64("_text").alias("tie"))
     _, _, pieces = mix(stored(sizes, "sizes"))
     once = F.struct(F.col("lo").alias("a"), F.col("cut").alias("b"), (F.col("whole") + 1).alias("times"))
     rest = F.struct(F.col("cut").alias("a"), F.col("hi").alias("b"), F.col("whole").alias("times"))
@@ -190,9 +226,11 @@ def mixed_texts(rows: DataFrame) -> DataFrame:
     have = F.explode(F.array(*(F.lit(c) for c in range(1, LIMIT + 1))))
     parts = parts.withColumn("copy", have).withColumn("parts", F.filter("parts", lambda p: (p["times"] >= F.col("copy")) & (p["b"] > p["a"])))
     parts = parts.withColumn("got", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["b"] - p["a"])).where("got > 0")
-    out = rows.join(parts, "_rid")
-    every = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    out = inner.select("_rid", "_row", "_text").join(parts, "_rid")
+    every = F.filter(F.split("_text", r"[ \t-\r]+"), lambda w: w != "")
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("_words"), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))), " ")
     whole = F.col("got") == F.col("size")
-    out = out.withColumn("_words", F.when(~whole, every)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    return out.withColumn("n_chars", F.length("text").cast(dict(rows.dtypes).get("n_chars", "long"))).select([c for c in rows.columns if c != "_rid"])
+    out = out.withColumn("_words", F.when(~whole, every)).withColumn("_text", F.when(whole, F.col("_text")).otherwise(cut))
+    kinds = dict(rows.dtypes)
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast(kinds.get("n_chars", "long"))}
+    return out.select([new.get(c, F.col("_row").getField(f"c{i}")).alias(c) for i, c in enumerate(rows.columns) if c != rid])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import labelled_sample, summed, text_chunks
+from .rows import labelled_sample, summed, text_chunks, with_outputs
 from .tokens import LETTER, Segment, segments
 
 #: Word vectors by hashed token, in four equal parts for the shapes of a token.
@@ -63,14 +63,21 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         place, sign = index_vectors()
         total = np.zeros(BUCKETS * DIM, np.float64)
         for batch in text_chunks(batches):
+            tail, tail_doc = np.zeros(0, np.int64), -1  # the end of a text that goes on in the next segment
             for own in segments(batch.column("text").to_pylist()):
-                words = buckets(own)
+                words, doc, old = buckets(own), own.doc, 0
+                if len(doc) and doc[0] == tail_doc:
+                    words, doc, old = np.concatenate([tail, words]), np.concatenate([np.full(len(tail), tail_doc), doc]), len(tail)
                 for gap in range(1, WINDOW + 1):
-                    same = own.doc[gap:] == own.doc[:-gap]
-                    a, b = words[:-gap][same], words[gap:][same]
+                    first = max(0, old - gap)  # pairs inside the tail are counted already
+                    same = doc[first + gap :] == doc[first : len(doc) - gap]
+                    a, b = words[first : len(doc) - gap][same], words[first + gap :][same]
                     for word, near in ((a, b), (b, a)):
                         at = (word[:, None] * DIM + place[near]).ravel()
                         total += np.bincount(at, weights=sign[near].ravel(), minlength=BUCKETS * DIM)
+                if len(doc):
+                    tail_doc = doc[-1]
+                    tail = words[-WINDOW:][doc[-WINDOW:] == tail_doc]
         return {"contexts": total.astype(np.int64)}
 
     found = summed(docs.where("text is not null").select("text"), count, BUCKETS * DIM // 64)
@@ -193,21 +200,23 @@ def features(rows: DataFrame, vectors: np.ndarray, keep: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, keep, bound: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network]:
     """Word vectors from all ``docs``, and a network from at most ``bound`` labelled ones."""
     vectors = word_vectors(docs)
-    got = features(labelled_sample(docs, labels, "quality", keep, bound), vectors, "y").orderBy("x", "y").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f4").reshape(-1, WIDTH)
-    return vectors, train(x, got.column("y").to_numpy().astype(np.float64))
+    got = features(labelled_sample(docs, labels, "quality", keep, bound), vectors, "y").toArrow()
+    # At most ``bound`` rows: sorted here, so that training sees them in one order.
+    rows = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist()))
+    x = np.frombuffer(b"".join(x for x, _ in rows), "<f4").reshape(-1, WIDTH)
+    return vectors, train(x, np.array([y for _, y in rows], np.float64))
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, *keep: str) -> DataFrame:
-    """``keep`` columns and ``score``; null and empty texts get the score of no tokens."""
+    """``keep`` columns and, last, ``score`` (``score_`` where a kept column has that name).
+
+    Null and empty texts get the score of no tokens; a long text is read in segments, whole;
+    repeated rows and null ids keep their rows; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "_text"):
-            own, model = sent.value
-            x = pooled(batch.column("_text").to_pylist(), own)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.score(x).astype(np.float64))], names=[*keep, "score"])
-
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        own, model = sent.value
+        return [pa.array(model.score(pooled(texts, own)).astype(np.float64))]
+
+    return with_outputs(docs, keep, {"score": "double"}, work)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import fresh_path
 from . import bpe, chat, covertree, langid, mixing, nearcopies, qalsh, quality, simhash, toxicity, warc
-from .rows import held_out, with_row_ids
+from .rows import column, held_out, with_row_ids
 
 QUALITY_AT = 0.5
 TOXIC_AT = 0.3
@@ -78,40 +78,52 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pat
 # --- stages of the pipeline -----------------------------------------------------------
 
 
+def _kept(scored: DataFrame, docs: DataFrame, keep) -> DataFrame:
+    """The documents' columns of the rows whose score, the last column, passes."""
+    score = scored.columns[-1]
+    return scored.where(keep(column(score))).drop(score)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; the model learns from this stage's input."""
+    """Documents that the quality classifier accepts; the model learns from this stage's input.
+
+    Null and empty texts are judged as texts without words; repeated rows stay or go together;
+    an empty table gives an empty one; other columns, of whatever name, are returned as they are.
+    """
     vectors, net = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out(3, 1))
-    return quality.score(docs, vectors, net, *docs.columns).where(F.col("score") >= QUALITY_AT).select(docs.columns)
+    return _kept(quality.score(docs, vectors, net, *docs.columns), docs, lambda s: s >= QUALITY_AT)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier accepts."""
+    """Documents that the toxicity classifier accepts; odd rows as in ``keep_quality``."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out(4, 2))
-    return toxicity.score(docs, model, *docs.columns).where(F.col("score") < TOXIC_AT).select(docs.columns)
+    return _kept(toxicity.score(docs, model, *docs.columns), docs, lambda s: s < TOXIC_AT)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group: the one with the smallest id.
 
-    Groups hang together by a Jaccard similarity of 0.8 or more over 5-word shingles.
+    SimHash proposes over 5-word shingles; groups hang together by a Jaccard similarity of 0.8
+    or more.  A null id comes after all others; of rows that repeat an id one stays.  Null
+    texts and texts without words are one group; an empty table gives an empty one.
     """
-    rows = with_row_ids(docs)
-    groups = nearcopies.near_copies(rows, "_rid")
-    ids = groups.join(rows.select("_rid", "doc_id"), "_rid")
-    kept = ids.groupBy("component_id").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_rid"))).alias("_rid"))
-    return rows.join(kept, "_rid", "left_semi").select(docs.columns)
+    rows, rid = with_row_ids(docs)
+    groups = nearcopies.near_copies(rows.select(column(rid).alias("_rid"), "text"), "_rid")
+    ids = groups.join(rows.select(column(rid).alias("_rid"), "doc_id"), "_rid")
+    kept = ids.groupBy("component_id").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_rid"))).alias("_kept")).select("_kept")
+    return rows.join(kept, column(rid) == F.col("_kept"), "left_semi").drop(rid)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, as documents."""
-    return mixing.mixed_texts(with_row_ids(docs)).select(docs.columns)
+    """The words that the mix takes, as documents; odd rows as in ``mixing.mixed_texts``."""
+    return mixing.mixed_texts(*with_row_ids(docs))
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
+    """Token ids of every document of the mix, with their count and digests."""
     import public_tokenizers
 
-    return bpe.round_trip(docs, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 QUERIES = {

@@ -6,13 +6,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import stored
 
 #: Text of about this many characters is worked on at once, so memory does not follow the batch.
 CHUNK_CHARS = 1_000_000
+#: Tables that are added up in one place before the sums of all places meet.
+LANE_TASKS = 256
 
 
 def binary_to_float(column: pa.Array, width: int) -> np.ndarray:
@@ -20,6 +23,38 @@ def binary_to_float(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f4").reshape(-1, width)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores after it until no taken name is like it."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def with_outputs(docs: DataFrame, keep: Iterable[str], outputs: dict[str, str], work: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """``keep`` columns as they are, and the ``outputs`` that ``work`` makes of whole texts.
+
+    An output whose name a kept column has already gets underscores after it.
+    """
+    keep = list(keep)
+    kinds = dict(docs.dtypes)
+    inner = [f"k{i}" for i in range(len(keep))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "text"):
+            made = work(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in inner), *made], names=[*inner, *(f"o{i}" for i in range(len(outputs)))])
+
+    rows = docs.select(*(column(c).alias(k) for c, k in zip(keep, inner)), F.col("text").alias("text"))
+    schema = [*(f"{k} {kinds[c]}" for c, k in zip(keep, inner)), *(f"o{i} {kind}" for i, kind in enumerate(outputs.values()))]
+    return rows.mapInArrow(run, ", ".join(schema)).toDF(*keep, *(fresh_name(n, keep) for n in outputs))
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of batches holding about ``CHUNK_CHARS`` bytes of text, or one longer row."""
     for batch in batches:
@@ -44,32 +79,31 @@ def summed(
     by the model's parameters and never by the rows.
     """
 
+    def sparse(name: str, part: int, lane: int, table: np.ndarray) -> pa.RecordBatch:
+        hit = np.flatnonzero(table)
+        arrays = [pa.array([name]), pa.array([part], pa.int32()), pa.array([lane], pa.int32()), pa.array([hit.astype("<i4").tobytes()]), pa.array([table[hit].astype("<i8").tobytes()])]
+        return pa.RecordBatch.from_arrays(arrays, names=["name", "part", "lane", "at", "n"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane = TaskContext.get().partitionId() // LANE_TASKS
         for name, table in count(batches).items():
             for at in range(0, len(table), block):
-                part = table[at : at + block]
-                hit = np.flatnonzero(part)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([at // block], pa.int32()), pa.array([hit.astype("<i4").tobytes()]), pa.array([part[hit].astype("<i8").tobytes()])],
-                        names=["name", "part", "at", "n"],
-                    )
+                if table[at : at + block].any():
+                    yield sparse(name, at // block, lane, table[at : at + block])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for name, part, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                table = sums.setdefault((name, part), np.zeros(block, np.int64))
+            for name, part, lane, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                table = sums.setdefault((name, part, lane), np.zeros(block, np.int64))
                 table[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
-        for (name, part), table in sums.items():
-            hit = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([part], pa.int32()), pa.array([hit.astype("<i4").tobytes()]), pa.array([table[hit].astype("<i8").tobytes()])],
-                names=["name", "part", "at", "n"],
-            )
-
-    schema = "name string, part int, at binary, n binary"
-    parts = df.mapInArrow(emit, schema).repartition("name", "part").mapInArrow(add, schema)
+        for key, table in sums.items():
+            yield sparse(*key, table)
+
+    schema = "name string, part int, lane int, at binary, n binary"
+    # Two levels: a task meets the tables of LANE_TASKS tasks, then those of all lanes.
+    lanes = df.mapInArrow(emit, schema).repartition("name", "part", "lane").mapInArrow(add, schema)
+    parts = lanes.withColumn("lane", F.lit(0)).repartition("name", "part").mapInArrow(add, schema)
     out: dict[str, np.ndarray] = {}
     for row in parts.collect():
         at = row["part"] * block
@@ -105,6 +139,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, bound:
     return stored(found, f"{label}-sample", "zstd")
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """The documents, stored once, with a unique ``_rid`` that is fixed by the stored copy."""
-    return stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows", "zstd")
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, stored once, with a unique id that is fixed by the stored copy, and the
+    name of that column: ``_rid``, or a longer one where the documents have that name."""
+    name = fresh_name("_rid", docs.columns)
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows", "zstd"), name

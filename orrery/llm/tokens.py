@@ -3,8 +3,9 @@
 Texts are joined as UTF-8 bytes; a token is a run of letters, of digits or of other marks
 (bytes from 128 up count as letters).  Hashes come from one running sum over the bytes: a
 token's is the difference of two sums, moved to position zero, so nothing is done for each
-token in Python.  A text longer than ``SEGMENT_BYTES`` is worked on in parts that end at
-white space, which bounds the memory by the segment and not by the text.
+token in Python.  A text longer than ``SEGMENT_BYTES`` is worked on in parts, which bounds the
+memory by the segment and not by the text.  Parts never end inside a token: a run of more
+than ``TOKEN_BYTES`` is tokens of that length from its start on, wherever the parts lie.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 SEGMENT_BYTES = 1_000_000
+TOKEN_BYTES = 4096
 SPACE, LETTER, DIGIT, MARK = range(4)
 _KIND = np.array([SPACE if b <= 32 or b == 127 else LETTER if b >= 128 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else MARK for b in range(256)], np.uint8)
 _BASE = 0x9E3779B97F4A7C15
@@ -59,12 +61,18 @@ class Segment:
 
 
 def _parts(blob: bytes) -> Iterator[bytes]:
-    while len(blob) > SEGMENT_BYTES:
-        cut = max(blob.rfind(b" ", 0, SEGMENT_BYTES), blob.rfind(b"\n", 0, SEGMENT_BYTES))
-        cut = cut if cut > 0 else SEGMENT_BYTES
-        yield blob[:cut]
-        blob = blob[cut:]
-    yield blob
+    at = 0
+    while len(blob) - at > SEGMENT_BYTES:
+        end = at + SEGMENT_BYTES
+        cut = max(blob.rfind(b" ", at, end), blob.rfind(b"\n", at, end))
+        if cut <= at:  # no white space: after the last whole token
+            kind = _KIND[np.frombuffer(blob, np.uint8, SEGMENT_BYTES, at)]
+            edge = np.flatnonzero(kind[1:] != kind[:-1])
+            last = int(edge[-1]) + 1 if len(edge) else 0
+            cut = at + last + (SEGMENT_BYTES - last) // TOKEN_BYTES * TOKEN_BYTES
+        yield blob[at:cut]
+        at = cut
+    yield blob[at:] if at else blob
 
 
 def segments(texts: list[str | None]) -> Iterator[Segment]:
@@ -88,6 +96,11 @@ def _segment(parts: list[bytes], docs: list[int]) -> Segment:
     start, end = edge[:-1], edge[1:]
     real = kind[start] != SPACE
     start, end = start[real], end[real]
+    if len(start) and (end - start).max() > TOKEN_BYTES:
+        pieces = -(-(end - start) // TOKEN_BYTES)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, end = np.repeat(start, pieces) + nth * TOKEN_BYTES, np.repeat(end, pieces)
+        end = np.minimum(end, start + TOKEN_BYTES)
     first = np.cumsum([0, *(len(p) + 1 for p in parts)])
     doc = np.array(docs)[np.searchsorted(first, start, "right") - 1] if len(start) else np.zeros(0, np.int64)
     sums = np.zeros(len(data) + 1, np.uint64)

@@ -1,9 +1,10 @@
 """Toxicity classifier with a counterfactual penalty.
 
-A logistic model over the words of a text and the stems of longer words.  For labelled texts, identity terms are swapped
-for others of the same language group (or one is put in where there is none), and the model
-pays for every change of its score between a text and its swap.  So a group mention by
-itself carries no weight, and neutral mentions are not taken for abuse.
+A logistic model over the words of a text and the stems of longer words.  In every sentence of
+a labelled text, identity terms are swapped for others of the same language group (a term is
+put into one sentence of a text that has none), and the model pays for every change of a
+sentence's score by the swap.  So a group mention by itself carries no weight, and neutral
+mentions are not taken for abuse.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .rows import labelled_sample, summed, text_chunks
+from .rows import labelled_sample, summed, text_chunks, with_outputs
 from .tokens import LETTER, segments
 
 BUCKETS = 1 << 18
@@ -57,6 +57,7 @@ _GROUP = {term: lang for lang, terms in IDENTITY.items() for term in terms}
 _TERMS = list(_GROUP)
 # Each written form once; a form that is itself a term, or that two terms share, is the first one's.
 _FORM_OF = {form: i for i, term in reversed([*enumerate(_TERMS)]) for form in FORMS.get(term, "").split()} | {term: i for i, term in enumerate(_TERMS)}
+_SENTENCE = re.compile("(?<=[.!?\u2026\u3002])\\s+|\n+")
 _SPACES = re.compile("[\u0080-\u00bf\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
 
 
@@ -136,18 +137,44 @@ def features(texts: list[str | None], allowed: np.ndarray | None = None) -> list
     return [k % SIZE for k in np.split(key, np.searchsorted(key, np.arange(1, len(texts)) * SIZE))] if texts else []
 
 
-def swapped(own: np.ndarray, turn: int) -> np.ndarray:
-    """The counterfactual of a text's features: every identity term becomes another of its
-    group, and a text without one gets one."""
-    terms, rest = own[own >= BUCKETS], own[own < BUCKETS]
-    if not len(terms):
-        return np.append(rest, BUCKETS + turn % len(_TERMS))
-    new = []
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text: they end at a full stop, question or exclamation mark before
+    white space, or at a line break."""
+    return [s for s in _SENTENCE.split(text or "") if s]
+
+
+def mentions(texts: list[str | None]) -> list[list[tuple[int, ...]]]:
+    """For each text the identity terms of every sentence that has any; the empty tuple, once,
+    for a text without one.  Terms are numbers of ``IDENTITY`` in order."""
+    terms = _term_hashes()
+    out: list[list[tuple[int, ...]]] = [[] for _ in texts]
+    parts, of = [], []
+    for i, text in enumerate(texts):
+        own = sentences(_normal(text))
+        parts += own
+        of += [i] * len(own)
+    found: dict[int, set[int]] = {}
+    for own in segments(parts):
+        own = own.where(own.kind == LETTER)
+        hit, term = terms.find(own.hashes(own.start, own.end))
+        for s, t in zip(own.doc[hit], term):
+            found.setdefault(int(s), set()).add(int(t))
+    for s in sorted(found):
+        out[of[s]].append(tuple(sorted(found[s])))
+    return [x or [()] for x in out]
+
+
+def swapped(terms: tuple[int, ...], turn: int) -> tuple[int, ...]:
+    """The terms of a sentence's counterfactual: every identity term becomes another of its
+    group, and a sentence without one gets one."""
+    if not terms:
+        return (turn % len(_TERMS),)
+    new = set()
     for f in terms:
-        group = IDENTITY[_GROUP[_TERMS[f - BUCKETS]]]
-        at = (group.index(_TERMS[f - BUCKETS]) + 1 + turn % (len(group) - 1)) % len(group)
-        new.append(BUCKETS + _TERMS.index(group[at]))
-    return np.unique(np.concatenate([rest, new])).astype(np.int64)
+        group = IDENTITY[_GROUP[_TERMS[f]]]
+        at = (group.index(_TERMS[f]) + 1 + turn % (len(group) - 1)) % len(group)
+        new.add(_TERMS.index(group[at]))
+    return tuple(sorted(new))
 
 
 @dataclass
@@ -162,34 +189,44 @@ class Model:
         return 1 / (1 + float(np.exp(-np.clip(z, -60, 60))))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, penalty: float = SWAP_PENALTY) -> Model:
+def train(rows: list[np.ndarray], y: np.ndarray, penalty: float = SWAP_PENALTY, said: list[list[tuple[int, ...]]] | None = None) -> Model:
     """Logistic regression over feature lists with a squared price on counterfactual gaps.
 
-    Without rows, or with one label only, the score is the share of label 1 (0 without rows).
+    ``said`` holds the terms of every text's sentences (``mentions``); without it every text is
+    one sentence.  All else in a sentence is the same in its swap, so its score (as a log odds)
+    changes by the terms' weights alone.  A text's sentences share one price.  Without rows, or with one label only, the score is the
+    share of label 1 (0 without rows).
     """
     weight = np.zeros(SIZE, np.float64)
     if len(np.unique(y)) < 2:
         share = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
         return Model(weight, float(np.log(share / (1 - share))))
-    swaps = [swapped(r, i) for i, r in enumerate(rows)]
-    used = np.unique(np.concatenate([*rows, *swaps]))
+    if said is None:
+        said = [[tuple(int(f) - BUCKETS for f in r if f >= BUCKETS)] for r in rows]
+    before, after, price = [], [], []
+    for i, own in enumerate(said):
+        for j, terms in enumerate(own):
+            before.append(terms), after.append(swapped(terms, i + j)), price.append(1 / len(own))
+    used = np.unique(np.concatenate([*rows, np.arange(BUCKETS, SIZE)]))
     place = np.full(SIZE, -1)
     place[used] = np.arange(len(used))
 
-    def packed(lists: list[np.ndarray]):
-        at = place[np.concatenate(lists)] if lists else np.zeros(0, np.int64)
-        return at, np.repeat(np.arange(len(lists)), [len(r) for r in lists])
+    def packed(lists: list) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.asarray(r, np.int64) for r in lists]
+        return np.concatenate(each) if each else np.zeros(0, np.int64), np.repeat(np.arange(len(each)), [len(r) for r in each])
 
-    (at, of), (at2, of2) = packed(rows), packed(swaps)
-    n, k = len(rows), len(used)
+    at, of = packed(rows)
+    (at1, of1), (at2, of2) = packed(before), packed(after)
+    at, at1, at2, price = place[at], place[at1 + BUCKETS], place[at2 + BUCKETS], np.array(price)
+    n, k, m_ = len(rows), len(used), len(price)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = b + np.bincount(of, weights=w[at], minlength=n)
-        z2 = b + np.bincount(of2, weights=w[at2], minlength=n)
         error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        gap = 2 * penalty * (z - z2)
-        g = (np.bincount(at, weights=(error + gap)[of], minlength=k) - np.bincount(at2, weights=gap[of2], minlength=k)) / n + RIDGE * w
+        change = np.bincount(of1, weights=w[at1], minlength=m_) - np.bincount(of2, weights=w[at2], minlength=m_)
+        gap = 2 * penalty * price * change
+        g = (np.bincount(at, weights=error[of], minlength=k) + np.bincount(at1, weights=gap[of1], minlength=k) - np.bincount(at2, weights=gap[of2], minlength=k)) / n + RIDGE * w
         gb = error.mean()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -234,24 +271,27 @@ def fit(docs: DataFrame, labels: DataFrame, keep, bound: int = SAMPLE_ROWS, pena
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            blobs = [f.astype("<i4").tobytes() for f in features(batch.column("text").to_pylist(), sent.value)]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(blobs, pa.binary())], names=["y", "x"])
+            texts = batch.column("text").to_pylist()
+            blobs = [f.astype("<i4").tobytes() for f in features(texts, sent.value)]
+            # Sentences with the same terms count by their number; there are few kinds.
+            said = [[list(t) for t in own] for own in mentions(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(blobs, pa.binary()), pa.array(said, pa.list_(pa.list_(pa.int32())))], names=["y", "x", "said"])
 
-    got = sample.select("y", "text").mapInArrow(run, "y int, x binary").orderBy("x", "y").toArrow()
-    rows = [np.frombuffer(x, "<i4").astype(np.int64) for x in got.column("x").to_pylist()]
-    return train(rows, got.column("y").to_numpy().astype(np.float64), penalty)
+    got = sample.select("y", "text").mapInArrow(run, "y int, x binary, said array<array<int>>").toArrow()
+    # At most ``bound`` rows: sorted here, so that training sees them in one order.
+    rows = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), ([tuple(t) for t in own] for own in got.column("said").to_pylist())))
+    return train([np.frombuffer(x, "<i4").astype(np.int64) for x, _, _ in rows], np.array([y for _, y, _ in rows], np.float64), penalty, [own for _, _, own in rows])
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` columns and ``score``; null and empty texts get the score of no words."""
+    """``keep`` columns and, last, ``score`` (``score_`` where a kept column has that name).
+
+    Null and empty texts get the score of no words; a long text is read in segments, whole;
+    repeated rows and null ids keep their rows; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighs = sent.value.weight != 0
-        for batch in text_chunks(batches, "_text"):
-            own = [sent.value.score(f) for f in features(batch.column("_text").to_pylist(), weighs)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own, pa.float64())], names=[*keep, "score"])
-
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([sent.value.score(f) for f in features(texts, sent.value.weight != 0)], pa.float64())]
+
+    return with_outputs(docs, keep, {"score": "double"}, work)
