@@ -44,13 +44,15 @@ def with_outputs(docs: DataFrame, keep: Iterable[str], outputs: dict[str, str],
     keep = list(keep)
     kinds = dict(docs.dtypes)
     inner = [f"k{i}" for i in range(len(keep))]
+    # A kept text is sent once.
+    read = inner[keep.index("text")] if "text" in keep else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "text"):
-            made = work(batch.column("text").to_pylist())
+        for batch in text_chunks(batches, read):
+            made = work(batch.column(read).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in inner), *made], names=[*inner, *(f"o{i}" for i in range(len(outputs)))])
 
-    rows = docs.select(*(column(c).alias(k) for c, k in zip(keep, inner)), F.col("text").alias("text"))
+    rows = docs.select(*(column(c).alias(k) for c, k in zip(keep, inner)), *([F.col("text")] if read == "text" else []))
     schema = [*(f"{k} {kinds[c]}" for c, k in zip(keep, inner)), *(f"o{i} {kind}" for i, kind in enumerate(outputs.values()))]
     return rows.mapInArrow(run, ", ".join(schema)).toDF(*keep, *(fresh_name(n, keep) for n in outputs))
 
