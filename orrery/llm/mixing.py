@@ -23,7 +23,7 @@ from .rows import column
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
-RUN_ROWS = 1024
+RUN_ROWS = 256
 #: Runs of one range.
 RANGE_RUNS = 4096
 #: Slots that one task expands.

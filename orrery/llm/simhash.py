@@ -29,6 +29,8 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints that one task holds while others stream past.
 TILE_ROWS = 4096
+#: Fingerprints in one blob of a large tile.
+PACK_ROWS = 1024
 QUARTERS = 4
 QUARTER_BITS = 16
 #: Where a fingerprint has several lanes, pairs further apart than this on the first are dropped.
@@ -155,9 +157,11 @@ def forest(rows: DataFrame, near: list[int] | Column, lanes: int, radius: list[t
     itself and with the tiles in ``near``, offsets or an array column.  The number of tiles is
     bounded by the caller's key, so their sizes may be broadcast.
     """
-    size = rows.groupBy("tile").count().select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("salts"))
+    size = rows.groupBy("tile").count().select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("salts"), (F.col("count") > PACK_ROWS).alias("many"))
     size = stored(size, "tile-sizes")
-    dealt = rows.join(F.broadcast(size), "tile").select("tile", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "fp")
+    # A part of a tile is packed in pieces, so that no task gathers all its rows.
+    piece = F.pmod(F.xxhash64("node", F.lit("piece")), F.lit(max(1, tile_rows // PACK_ROWS))).cast("int")
+    dealt = rows.join(F.broadcast(size), "tile").select("tile", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.when(F.col("many"), piece).otherwise(0).alias("piece"), "node", "fp")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -168,23 +172,23 @@ def forest(rows: DataFrame, near: list[int] | Column, lanes: int, radius: list[t
             return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([nodes]), pa.array([fps])], names=["tile", "salt", "nodes", "fps"])
 
         for batch in batches:
-            tile, salt, nodes = (batch.column(c).to_numpy() for c in ("tile", "salt", "node"))
-            for lo, hi in _runs(batch, "tile", "salt"):
-                if held and at != (tile[lo], salt[lo]):
+            tile, salt, piece, nodes = (batch.column(c).to_numpy() for c in ("tile", "salt", "piece", "node"))
+            for lo, hi in _runs(batch, "tile", "salt", "piece"):
+                if held and at != (tile[lo], salt[lo], piece[lo]):
                     yield flush()
-                at = (tile[lo], salt[lo])
+                at = (tile[lo], salt[lo], piece[lo])
                 held.append((nodes[lo:hi].astype("<i8").tobytes(), b"".join(batch.column("fp").slice(lo, hi - lo).to_pylist())))
         if held:
             yield flush()
 
-    packed = dealt.repartition("tile", "salt").sortWithinPartitions("tile", "salt").mapInArrow(pack, "tile int, salt int, nodes binary, fps binary")
+    packed = dealt.repartition("tile", "salt", "piece").sortWithinPartitions("tile", "salt", "piece").mapInArrow(pack, "tile int, salt int, nodes binary, fps binary")
     packed = stored(packed, "tiles")
     home = packed.withColumn("role", F.lit(0))
     # Within one split tile every part also meets the later ones.
-    split = packed.join(F.broadcast(size.where("salts > 1")), "tile").where("salt + 1 < salts")
+    split = packed.join(F.broadcast(size.where("salts > 1").drop("many")), "tile").where("salt + 1 < salts")
     split = split.withColumn("salt", F.explode(F.sequence(F.col("salt") + 1, F.col("salts") - 1))).withColumn("role", F.lit(1)).drop("salts")
     others = F.array(*(F.col("tile") + d for d in near)) if isinstance(near, list) else near
-    away = packed.withColumn("tile", F.explode(others)).drop("salt").join(F.broadcast(size), "tile")
+    away = packed.withColumn("tile", F.explode(others)).drop("salt").join(F.broadcast(size.drop("many")), "tile")
     away = away.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("role", F.lit(1)).drop("salts")
     units = home.unionByName(split).unionByName(away).repartition("tile", "salt").sortWithinPartitions("tile", "salt", "role")
     # Upper ends of tile numbers, each with the radius below it.
@@ -198,7 +202,7 @@ def forest(rows: DataFrame, near: list[int] | Column, lanes: int, radius: list[t
         return np.frombuffer(nodes, "<i8"), np.frombuffer(fps, "<u8").reshape(-1, lanes)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
+        at, own, home = None, None, []
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -206,21 +210,31 @@ def forest(rows: DataFrame, near: list[int] | Column, lanes: int, radius: list[t
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["src", "dst"])
 
+        def close() -> None:
+            """The tile is whole: compare it with itself."""
+            nonlocal own
+            if home:
+                nodes, fps = (np.concatenate(x) for x in zip(*home))
+                home.clear()
+                r = radius_of(at[0])
+                own = _Tile(nodes, fps, r, min(r, LANE_RADIUS))
+                out.extend(own.own_links())
+
         for batch in batches:
             tile, salt, role = (batch.column(c).to_numpy() for c in ("tile", "salt", "role"))
             for lo, hi in _runs(batch, "tile", "salt", "role"):
-                if at != (tile[lo], salt[lo]):
-                    at, own = (tile[lo], salt[lo]), None
-                for x in range(lo, hi, 64):
-                    nodes, fps = unpacked(batch.slice(x, min(64, hi - x)))
-                    if role[lo] == 0:
-                        r = radius_of(int(tile[lo]))
-                        own = _Tile(nodes, fps, r, min(r, LANE_RADIUS))
-                        out.extend(own.own_links())
-                    elif own is not None:
-                        out.extend(own.links_to(nodes, fps))
+                if at != (int(tile[lo]), int(salt[lo])):
+                    close()
+                    at, own = (int(tile[lo]), int(salt[lo])), None
+                if role[lo] == 0:
+                    home.append(unpacked(batch.slice(lo, hi - lo)))
+                    continue
+                close()
+                for x in range(lo, hi if own is not None else lo, 64):
+                    out.extend(own.links_to(*unpacked(batch.slice(x, min(64, hi - x)))))
                     if len(out) > 50_000:
                         yield flush()
+        close()
         if out:
             yield flush()
 
