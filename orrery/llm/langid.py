@@ -31,11 +31,17 @@ UNKNOWN = "und"
 _SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def grams(text: str) -> np.ndarray:
-    """Bucket of every n-gram of the lower-cased bytes, words bounded by one space."""
-    data = b" " + b" ".join(text.lower().encode().translate(_SPACE).split()) + b" "
+def _letters(text: str) -> bytes:
+    """The lower-cased bytes of the words, with one space between."""
+    return b" ".join(text.lower().encode().translate(_SPACE).split())
+
+
+def grams(text: str, before: bytes = b"") -> np.ndarray:
+    """Bucket of every n-gram of the words' bytes, one space around; ``before`` is the last byte
+    of the words that go before, if any."""
+    data = before + b" " + _letters(text) + b" "
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    if len(b) < GRAM:
+    if len(b) < GRAM + len(before):
         return np.zeros(0, np.int64)
     h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
     h ^= h >> np.uint32(15)
@@ -44,17 +50,16 @@ def grams(text: str) -> np.ndarray:
 
 
 def counted(text: str) -> np.ndarray:
-    """How often every bucket's n-grams are in a whole text, which is read in pieces that end
-    at a space: n-grams never reach over one."""
+    """How often every bucket's n-grams are in a whole text; a long one is read in pieces that
+    end at a space."""
     if len(text) <= PIECE_CHARS:
         return np.bincount(grams(text), minlength=BUCKETS)
-    total, at = np.zeros(BUCKETS, np.int64), 0
+    total, at, before = np.zeros(BUCKETS, np.int64), 0, b""
     while at < len(text):
-        end = len(text)
-        if end - at > PIECE_CHARS:
-            end = text.find(" ", at + PIECE_CHARS)
-            end = len(text) if end < 0 else end
-        total += np.bincount(grams(text[at:end]), minlength=BUCKETS)
+        end = text.find(" ", at + PIECE_CHARS)
+        end = len(text) if end < 0 else end
+        total += np.bincount(grams(text[at:end], before), minlength=BUCKETS)
+        before = _letters(text[max(at, end - 64) : end])[-1:] or _letters(text[at:end])[-1:] or before
         at = end
     return total
 

@@ -110,8 +110,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows, rid = with_row_ids(docs)
     groups = nearcopies.near_copies(rows.select(column(rid).alias("_rid"), "text"), "_rid")
     ids = groups.join(rows.select(column(rid).alias("_rid"), "doc_id"), "_rid")
-    kept = ids.groupBy("component_id").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_rid"))).alias("_kept")).select("_kept")
-    return rows.join(kept, column(rid) == F.col("_kept"), "left_semi").drop(rid)
+    kept = ids.groupBy("component_id").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_rid"))).alias(rid)).select(column(rid))
+    return rows.join(kept, rid, "left_semi").select([column(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,7 +162,8 @@ def search(
     slices = max(1, min(n_data, LEAST_SLICES), -(-n_data // SLICE_BLOCKS))
     left = asked.select("dim", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), F.lit(0).alias("role"), F.lit(0).alias("block"), "data")
     right = data.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("q"), F.pmod("block", F.lit(slices)).alias("s"), F.lit(1).alias("role"), "block", "data")
-    dealt = left.unionByName(right).repartition(min(n_asked * slices, 65_536), "dim", "q", "s").sortWithinPartitions("dim", "q", "s", "role", "block")
+    # More parts than units, so that few units share a task.
+    dealt = left.unionByName(right).repartition(min(4 * n_asked * slices, 65_536), "dim", "q", "s").sortWithinPartitions("dim", "q", "s", "role", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held) -> pa.RecordBatch:
