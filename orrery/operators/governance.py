@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .policy import RISK
+
 
 def apply_overrides(queue: DataFrame, overrides: DataFrame, cell: list[str]) -> DataFrame:
     """The outcome of every override of a cell, applied in id order; the queue stays as it is.
@@ -26,7 +28,7 @@ def apply_overrides(queue: DataFrame, overrides: DataFrame, cell: list[str]) ->
             elif r.action == "force_include":
                 outcome = "already_selected"
                 if not row[0]:
-                    standing = [(v[2], i) for i, v in known.items() if v[0] and v[1] == "risk"]
+                    standing = [(v[2], i) for i, v in known.items() if v[0] and v[1] == RISK]
                     if standing:
                         displaced = max(standing)[1]
                         known[displaced][0] = False

@@ -5,45 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import order_by_risk
+from .running import by_risk
+
+# How a row came to its place, and why.
+RISK, RESERVE, NOT_SELECTED = "risk_priority", "coverage_reserve", "not_selected"
+BY_RISK, BY_RESERVE, OUTRANKED, RESERVE_USED = "selected_by_risk_rank", "selected_by_coverage_reserve", "not_selected_capacity_exhausted", "not_selected_reserve_exhausted"
+
+
+def ranked(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """``model_rank``, and ``cum``: eligible rows up to and with each, along the risk order.
+
+    Neither depends on the policy or the capacity, so a grid of those is laid over the result.
+    """
+    return by_risk(rows, cell, {"cum": F.col("eligible").cast("int")}, "model_rank").withColumn("model_rank", F.col("model_rank").cast("int"))
 
 
 def allocate(rows: DataFrame, cell: list[str], share: Column, forced: Column) -> DataFrame:
     """Every row with its mechanism, reason and place in the queue of its cell.
 
-    ``rows`` carry id, score, eligible, label and the capacity ``k``.  Of k places, g go to
-    the first eligible rows below the cut at k - g and the rest to the best by risk; g is the
-    largest feasible number up to the target.  With running counts E of eligible rows, g is
-    feasible if the rows below rank k - g hold at least g eligible ones.
+    ``rows`` carry id, score, eligible, label and the capacity ``k``, and may be ``ranked``
+    already.  Of k places, g go to the first eligible rows below the cut at k - g and the rest to
+    the best by risk; g is the largest feasible number up to the target.  With running counts E
+    of eligible rows, g is feasible if the rows below rank k - g hold at least g eligible ones.
+    What holds for the whole cell is two small aggregates; no row meets another.
     """
-    w = order_by_risk(cell)
-    everyone = Window.partitionBy(*cell)
-    r = rows.withColumn("model_rank", F.row_number().over(w)).withColumn("n", F.count("*").over(everyone))
-    r = r.withColumn("k", F.least("k", "n")).withColumn("cum", F.sum(F.col("eligible").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("total", F.sum(F.col("eligible").cast("int")).over(everyone))
-    at_k = F.max(F.when(F.col("model_rank") == F.col("k"), F.col("cum"))).over(everyone)
-    target = F.floor(F.col("k") * share)
-    r = r.withColumn("wanted", F.when(forced, F.least(target, F.col("k"))).otherwise(F.greatest(F.lit(0), target - F.coalesce(at_k, F.lit(0)))))
+    r = rows if "model_rank" in rows.columns else ranked(rows, cell)
+    r = r.withColumns({"_share": share, "_forced": forced})
+    whole = r.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum(F.col("eligible").cast("int")).alias("_total"), F.max(F.when(F.col("model_rank") <= F.col("k"), F.col("cum"))).alias("_at_k"), F.max("k").alias("_k"), F.max("_share").alias("_s"), F.max("_forced").alias("_f"))
+    whole = whole.withColumn("_k", F.least("_k", "_n").cast("int"))
+    target = F.floor(F.col("_k") * F.col("_s"))
+    whole = whole.withColumn("_wanted", F.when(F.col("_f"), F.least(target, F.col("_k"))).otherwise(F.greatest(F.lit(0), target - F.coalesce("_at_k", F.lit(0)))))
     # x = k - rank is feasible at a rank if total - cum[rank] >= x; rank 0 has cum 0.
-    x = F.col("k") - F.col("model_rank")
-    ok = (x >= 0) & (x <= F.col("wanted")) & (F.col("total") - F.col("cum") >= x)
-    r = r.withColumn("g", F.coalesce(F.max(F.when(ok, x)).over(everyone), F.lit(0)))
-    r = r.withColumn("g", F.when((F.col("wanted") >= F.col("k")) & (F.col("total") >= F.col("k")), F.col("k")).otherwise(F.col("g")))
+    x = F.col("_k") - F.col("model_rank")
+    some = r.select(*cell, "model_rank", "cum").join(whole.select(*cell, "_k", "_wanted", "_total"), cell).where((x >= 0) & (x <= F.col("_wanted")) & (F.col("_total") - F.col("cum") >= x))
+    some = some.groupBy(*cell).agg(F.max(x).alias("_g"), F.max_by("cum", x).alias("_cum"))
+    all_reserve = (F.col("_wanted") >= F.col("_k")) & (F.col("_total") >= F.col("_k"))
+    cut = whole.join(some, cell, "left").withColumn("g", F.when(all_reserve, F.col("_k")).otherwise(F.coalesce("_g", F.lit(0))))
+    cut = cut.withColumn("_cum", F.when(all_reserve, F.lit(0)).otherwise(F.coalesce("_cum", F.col("_at_k"), F.lit(0)))).select(*cell, F.col("_k"), "g", "_cum")
+    r = r.join(cut, cell).withColumn("k", F.col("_k"))
     risk = F.col("model_rank") <= F.col("k") - F.col("g")
-    below = F.sum(F.when(~risk & F.col("eligible"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    r = r.withColumn("_below", below)
-    reserve = ~risk & F.col("eligible") & (F.col("_below") <= F.col("g"))
-    r = r.withColumn("mechanism", F.when(risk, "risk").when(reserve, "reserve").otherwise("none")).withColumn("is_selected", risk | reserve)
-    reason = F.when(risk, "selected_by_risk").when(reserve, "selected_by_reserve").when(F.col("model_rank") <= F.col("k"), "displaced_by_reserve").otherwise("below_cut")
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(F.col("is_selected").desc(), (F.col("mechanism") == "risk").desc(), "model_rank"))
-    return r.withColumn("reason", reason).withColumn("final_rank", F.when(F.col("is_selected"), place)).drop("_below", "cum", "total", "n", "wanted")
+    below = F.col("cum") - F.col("_cum")  # eligible rows since the cut, with this one
+    reserve = ~risk & F.col("eligible") & (below <= F.col("g"))
+    r = r.withColumn("mechanism", F.when(risk, RISK).when(reserve, RESERVE).otherwise(NOT_SELECTED)).withColumn("is_selected", risk | reserve)
+    reason = F.when(risk, BY_RISK).when(reserve, BY_RESERVE).when(F.col("eligible"), RESERVE_USED).otherwise(OUTRANKED)
+    place = F.when(risk, F.col("model_rank")).when(reserve, F.col("k") - F.col("g") + below).cast("int")
+    return r.withColumn("reason", reason).withColumn("final_rank", place).drop("_k", "_cum", "_share", "_forced", "cum")
 
 
 def cell_metrics(decided: DataFrame, cell: list[str]) -> DataFrame:
     """Selected, risk and reserve rows, hits, and capture of all positives."""
     s = F.col("is_selected")
     return decided.groupBy(*cell).agg(
-        F.count_if(s).alias("n_selected"), F.count_if(F.col("mechanism") == "risk").alias("n_risk"), F.count_if(F.col("mechanism") == "reserve").alias("n_reserve"),
+        F.count_if(s).alias("n_selected"), F.count_if(F.col("mechanism") == RISK).alias("n_risk"), F.count_if(F.col("mechanism") == RESERVE).alias("n_reserve"),
         F.sum(F.when(s, F.col("label")).otherwise(0)).alias("hits"), (F.sum(F.when(s, F.col("label")).otherwise(0)) / F.nullif(F.sum("label"), F.lit(0))).alias("capture"),
         (F.count_if(s & F.col("eligible")) / F.nullif(F.count_if(F.col("eligible")), F.lit(0))).alias("coverage"),
     )

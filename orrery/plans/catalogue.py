@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..operators import asof, audit, calibrate, entity, geo, governance, policy, ranking, scheduling, stability, uncertainty
 from ..operators.graph import connected_components
-from ..sources.tables import inspections, manifest, table
+from ..sources.tables import inspections, manifest, records, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +43,7 @@ _FOLDS = f"""folds AS (
   WHERE te <= DATE '{LAST}'
 )"""
 _CELLS = f"""{_INSP}, {_FOLDS}, hist AS (
-  SELECT t.inspection_id, count(h.inspection_id) FILTER (WHERE h.kind = 'CANVASS') AS nc FROM insp t LEFT JOIN insp h ON h.establishment_id = t.establishment_id AND h.d < t.d GROUP BY 1
+  SELECT t.inspection_id, count(h.inspection_id) FILTER (WHERE h.kind = 'CANVASS' AND h.d >= DATE '{ERA}') AS nc FROM insp t LEFT JOIN insp h ON h.establishment_id = t.establishment_id AND h.d < t.d GROUP BY 1
 ), cells AS MATERIALIZED (
   SELECT f.fold_id, i.inspection_id AS id, i.establishment_id, i.d, i.score, i.label, i.area, i.name, (nc = 0) AS eligible
   FROM insp i JOIN folds f ON i.d BETWEEN f.test_start AND f.test_end JOIN hist USING (inspection_id)
@@ -68,17 +68,16 @@ def fold_table_of(spark: SparkSession) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every test window; eligible means no earlier canvass of the place."""
-    i = inspections(spark, sf_dir)
+    """Rows of every test window; eligible means no earlier canvass of the place in the code era."""
     f = F.broadcast(fold_table_of(spark).select("fold_id", "test_start", "test_end"))
-    t = i.join(f, F.col("d").between(F.col("test_start"), F.col("test_end")))
-    h = i.where("kind = 'CANVASS'").select("establishment_id", F.col("d").alias("hd")).groupBy("establishment_id").agg(F.min("hd").alias("first_canvass"))
+    t = inspections(spark, sf_dir).join(f, F.col("d").between(F.col("test_start"), F.col("test_end")))
+    h = records(spark, sf_dir).where((F.col("kind") == "CANVASS") & (F.col("d") >= F.lit(ERA).cast("date"))).groupBy("establishment_id").agg(F.min("d").alias("first_canvass"))
     t = t.join(h, "establishment_id", "left")
     return t.select("fold_id", F.col("inspection_id").alias("id"), "establishment_id", "d", "score", "label", "area", "name", (F.col("first_canvass").isNull() | (F.col("first_canvass") >= F.col("d"))).alias("eligible"))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspections(spark, sf_dir).select(F.col("inspection_id").alias("target_id"), "establishment_id", F.col("d").alias("t"), F.col("name").alias("current_name"))
+    return records(spark, sf_dir).select(F.col("inspection_id").alias("target_id"), "establishment_id", F.col("d").alias("t"), F.col("name").alias("current_name"))
 
 
 # --- named descriptive queries --------------------------------------------------------
@@ -228,7 +227,7 @@ def asof_features(spark, sf_dir):
   FROM insp t LEFT JOIN insp h ON h.establishment_id = t.establishment_id AND h.d < t.d GROUP BY 1, 2, 3)
  SELECT target_id, establishment_id, coalesce(l[2], '__UNKNOWN__') AS results, l[1] AS source_id, date_diff('day', l[3], t) AS days_since_source FROM g""")
 def asof_last_attribute(spark, sf_dir):
-    return asof.last_attribute(targets(spark, sf_dir), inspections(spark, sf_dir), "results")
+    return asof.last_attribute(targets(spark, sf_dir), records(spark, sf_dir), "results")
 
 
 @query("""SELECT t.event_id, count(h.event_id) AS n_before, round(coalesce(sum(h.value), 0), 4) AS value_before, count(h.event_id) FILTER (WHERE h.event_type = 'error') AS errors_before
@@ -417,7 +416,7 @@ def topk(spark, sf_dir):
  FROM cells WINDOW w AS (PARTITION BY fold_id ORDER BY area)""")
 def rank_avg_and_bins(spark, sf_dir):
     c = ranking.equal_mass_bins(cells(spark, sf_dir), CELL)
-    return c.select("fold_id", "id", ranking.average_rank("area", CELL).alias("avg_rank"), "bin")
+    return ranking.average_rank(c, "area", CELL, "avg_rank", F.col("area").cast("long")).select("fold_id", "id", "avg_rank", "bin")
 
 
 _AUC = "a AS (SELECT fold_id, label, rank() OVER (PARTITION BY fold_id ORDER BY score) + (count(*) OVER (PARTITION BY fold_id, score) - 1) / 2.0 AS r FROM cells)"
@@ -520,7 +519,7 @@ def ranker_scores(spark, sf_dir):
 def decided(spark, sf_dir, policies=POLICIES[2:3]):
     """Every cell under every policy: the policies are a literal of a few rows."""
     grid = F.explode(F.array(*(F.struct(F.lit(n).alias("policy_id"), F.lit(s).alias("share"), F.lit(f).alias("forced")) for n, s, f in policies)))
-    rows = cells(spark, sf_dir).withColumn("k", F.lit(K)).withColumn("p", grid).select("*", "p.*").drop("p")
+    rows = policy.ranked(cells(spark, sf_dir), CELL).withColumn("k", F.lit(K)).withColumn("p", grid).select("*", "p.*").drop("p")
     return policy.allocate(rows, ["policy_id", *CELL], F.col("share"), F.col("forced"))
 
 
@@ -533,12 +532,12 @@ def _alloc_sql(policies=POLICIES[2:3]) -> str:
  g AS MATERIALIZED (SELECT x.policy_id, x.fold_id, max(x.kk) AS kk, CAST(max(x) AS BIGINT) AS g FROM x LEFT JOIN r ON r.policy_id = x.policy_id AND r.fold_id = x.fold_id AND r.model_rank = x.kk - x.x WHERE x.total - coalesce(r.cum, 0) >= x.x GROUP BY 1, 2),
  q AS MATERIALIZED (SELECT r.*, g.g, g.kk, r.model_rank <= g.kk - g.g AS risk FROM r JOIN g USING (policy_id, fold_id)),
  z AS MATERIALIZED (SELECT *, sum(CASE WHEN NOT risk AND eligible THEN 1 ELSE 0 END) OVER (PARTITION BY policy_id, fold_id ORDER BY model_rank ROWS UNBOUNDED PRECEDING) AS below FROM q),
- dec AS MATERIALIZED (SELECT *, CASE WHEN risk THEN 'risk' WHEN eligible AND below <= g THEN 'reserve' ELSE 'none' END AS mechanism FROM z)"""
+ dec AS MATERIALIZED (SELECT *, CASE WHEN risk THEN 'risk_priority' WHEN eligible AND below <= g THEN 'coverage_reserve' ELSE 'not_selected' END AS mechanism FROM z)"""
 
 
-@query(f"""WITH {_CELLS}, {_alloc_sql()}, s AS (SELECT *, mechanism <> 'none' AS is_selected FROM dec)
- SELECT fold_id, id, CAST(model_rank AS INTEGER) AS model_rank, g, mechanism, is_selected, CASE WHEN risk THEN 'selected_by_risk' WHEN mechanism = 'reserve' THEN 'selected_by_reserve' WHEN model_rank <= kk THEN 'displaced_by_reserve' ELSE 'below_cut' END AS reason,
-  CASE WHEN is_selected THEN CAST(row_number() OVER (PARTITION BY fold_id ORDER BY is_selected DESC, (mechanism = 'risk') DESC, model_rank) AS INTEGER) END AS final_rank FROM s""")
+@query(f"""WITH {_CELLS}, {_alloc_sql()}, s AS (SELECT *, mechanism <> 'not_selected' AS is_selected FROM dec)
+ SELECT fold_id, id, CAST(model_rank AS INTEGER) AS model_rank, g, mechanism, is_selected, CASE WHEN risk THEN 'selected_by_risk_rank' WHEN mechanism = 'coverage_reserve' THEN 'selected_by_coverage_reserve' WHEN eligible THEN 'not_selected_reserve_exhausted' ELSE 'not_selected_capacity_exhausted' END AS reason,
+  CASE WHEN is_selected THEN CAST(row_number() OVER (PARTITION BY fold_id ORDER BY is_selected DESC, (mechanism = 'risk_priority') DESC, model_rank) AS INTEGER) END AS final_rank FROM s""")
 def decide(spark, sf_dir):
     return decided(spark, sf_dir).select("fold_id", "id", "model_rank", F.col("g").cast("long").alias("g"), "mechanism", "is_selected", "reason", "final_rank")
 
@@ -553,8 +552,8 @@ def _grid(spark, sf_dir):
 
 
 def _grid_sql() -> str:
-    return f"""{_alloc_sql(POLICIES)}, grid AS MATERIALIZED (SELECT policy_id, fold_id, count(*) FILTER (WHERE mechanism <> 'none') AS n_selected, count(*) FILTER (WHERE mechanism = 'risk') AS n_risk, count(*) FILTER (WHERE mechanism = 'reserve') AS n_reserve,
- CAST(sum(CASE WHEN mechanism <> 'none' THEN label ELSE 0 END) AS BIGINT) AS hits, round(sum(CASE WHEN mechanism <> 'none' THEN label ELSE 0 END) / nullif(sum(label), 0), 6) AS capture, round(count(*) FILTER (WHERE mechanism <> 'none' AND eligible) / nullif(count(*) FILTER (WHERE eligible), 0), 6) AS coverage FROM dec GROUP BY policy_id, fold_id)"""
+    return f"""{_alloc_sql(POLICIES)}, grid AS MATERIALIZED (SELECT policy_id, fold_id, count(*) FILTER (WHERE mechanism <> 'not_selected') AS n_selected, count(*) FILTER (WHERE mechanism = 'risk_priority') AS n_risk, count(*) FILTER (WHERE mechanism = 'coverage_reserve') AS n_reserve,
+ CAST(sum(CASE WHEN mechanism <> 'not_selected' THEN label ELSE 0 END) AS BIGINT) AS hits, round(sum(CASE WHEN mechanism <> 'not_selected' THEN label ELSE 0 END) / nullif(sum(label), 0), 6) AS capture, round(count(*) FILTER (WHERE mechanism <> 'not_selected' AND eligible) / nullif(count(*) FILTER (WHERE eligible), 0), 6) AS coverage FROM dec GROUP BY policy_id, fold_id)"""
 
 
 @query(f"WITH {_CELLS}, {_grid_sql()} SELECT * FROM grid")
@@ -584,7 +583,7 @@ def group_support(spark, sf_dir):
     return audit.support(cells(spark, sf_dir), CELL, "area", (20, 5, 5)).withColumns({c: F.round(c, 6) for c in ("base_rate", "share")})
 
 
-@query(f"""WITH {_CELLS}, {_alloc_sql()}, ga AS (SELECT area, count(*) AS population, count(*) FILTER (WHERE mechanism <> 'none') AS selected FROM dec GROUP BY 1), t AS (SELECT *, population / sum(population) OVER () AS p, selected / sum(selected) OVER () AS s FROM ga)
+@query(f"""WITH {_CELLS}, {_alloc_sql()}, ga AS (SELECT area, count(*) AS population, count(*) FILTER (WHERE mechanism <> 'not_selected') AS selected FROM dec GROUP BY 1), t AS (SELECT *, population / sum(population) OVER () AS p, selected / sum(selected) OVER () AS s FROM ga)
  SELECT area, population, selected, round(p, 6) AS population_share, round(s, 6) AS selected_share, round(s / p, 6) AS selection_ratio FROM t""")
 def priority_audit(spark, sf_dir):
     return audit.priority(decided(spark, sf_dir), "area").withColumns({c: F.round(c, 6) for c in ("population_share", "selected_share", "selection_ratio")})
@@ -629,7 +628,7 @@ def _plan(spark, sf_dir):
 
 _HORIZON = f"""cal AS (SELECT fold_id, d AS slot_date, count(*) AS n_slots FROM cells GROUP BY ALL), med AS (SELECT fold_id, median(n_slots) AS m FROM cal GROUP BY 1),
  hor AS MATERIALIZED (SELECT *, coalesce(sum(n_slots) OVER (PARTITION BY fold_id ORDER BY slot_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS slots_before FROM (SELECT cal.*, row_number() OVER (PARTITION BY fold_id ORDER BY slot_date) AS day_index, m FROM cal JOIN med USING (fold_id)) WHERE day_index <= ceil({K} / m))"""
-_PLAN = f"""{_alloc_sql()}, {_HORIZON}, que AS (SELECT fold_id, id, mechanism, row_number() OVER (PARTITION BY fold_id ORDER BY (mechanism = 'risk') DESC, model_rank) AS final_rank FROM dec WHERE mechanism <> 'none'),
+_PLAN = f"""{_alloc_sql()}, {_HORIZON}, que AS (SELECT fold_id, id, mechanism, row_number() OVER (PARTITION BY fold_id ORDER BY (mechanism = 'risk_priority') DESC, model_rank) AS final_rank FROM dec WHERE mechanism <> 'not_selected'),
  plan AS MATERIALIZED (SELECT que.fold_id, que.id, final_rank, slot_date, day_index, final_rank - slots_before AS slot_index, CASE WHEN slot_date IS NULL THEN 'backlog' ELSE 'scheduled' END AS status FROM que LEFT JOIN hor ON hor.fold_id = que.fold_id AND final_rank > slots_before AND final_rank <= slots_before + n_slots)"""
 
 
@@ -748,7 +747,7 @@ def calib_select(spark, sf_dir):
 
 @query(f"""WITH {_CELLS}, r AS (SELECT fold_id, rank() OVER (PARTITION BY fold_id ORDER BY score) + (count(*) OVER (PARTITION BY fold_id, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY fold_id ORDER BY area) + (count(*) OVER (PARTITION BY fold_id, area) - 1) / 2.0 AS b FROM cells) SELECT fold_id, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1""")
 def spearman(spark, sf_dir):
-    c = cells(spark, sf_dir).select("fold_id", ranking.average_rank("score", CELL).alias("a"), ranking.average_rank("area", CELL).alias("b"))
+    c = ranking.average_rank(ranking.average_rank(cells(spark, sf_dir), "score", CELL, "a"), "area", CELL, "b", F.col("area").cast("long"))
     return c.groupBy("fold_id").agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
 
 
@@ -764,15 +763,15 @@ def attribution_linear(spark, sf_dir):
 # --- runtime checks -------------------------------------------------------------------
 
 
-@query(f"""WITH {_CELLS}, {_PLAN} SELECT 'selected_is_k' AS check_name, count(*) AS violations FROM (SELECT fold_id FROM dec GROUP BY 1 HAVING count(*) FILTER (WHERE mechanism <> 'none') <> max(kk))
- UNION ALL SELECT 'reserve_is_eligible', count(*) FROM dec WHERE mechanism = 'reserve' AND NOT eligible UNION ALL SELECT 'slot_taken_twice', count(*) FROM (SELECT 1 FROM plan WHERE status = 'scheduled' GROUP BY fold_id, slot_date, slot_index HAVING count(*) > 1)""")
+@query(f"""WITH {_CELLS}, {_PLAN} SELECT 'selected_is_k' AS check_name, count(*) AS violations FROM (SELECT fold_id FROM dec GROUP BY 1 HAVING count(*) FILTER (WHERE mechanism <> 'not_selected') <> max(kk))
+ UNION ALL SELECT 'reserve_is_eligible', count(*) FROM dec WHERE mechanism = 'coverage_reserve' AND NOT eligible UNION ALL SELECT 'slot_taken_twice', count(*) FROM (SELECT 1 FROM plan WHERE status = 'scheduled' GROUP BY fold_id, slot_date, slot_index HAVING count(*) > 1)""")
 def null_rule_checks(spark, sf_dir):
     d = decided(spark, sf_dir)
     one = lambda name, bad: bad.agg(F.lit(name).alias("check_name"), F.count("*").alias("violations"))
     plan = _plan(spark, sf_dir)[1]
     return (
         one("selected_is_k", d.groupBy("fold_id").agg(F.count_if("is_selected").alias("s"), F.max("k").alias("k")).where("s <> k"))
-        .unionByName(one("reserve_is_eligible", d.where("mechanism = 'reserve' and not eligible")))
+        .unionByName(one("reserve_is_eligible", d.where("mechanism = 'coverage_reserve' and not eligible")))
         .unionByName(one("slot_taken_twice", plan.where("status = 'scheduled'").groupBy("fold_id", "slot_date", "slot_index").count().where("count > 1")))
     )
 
@@ -809,7 +808,7 @@ def representative_cases(spark, sf_dir):
 _TWO = [POLICIES[0], POLICIES[2]]
 
 
-@query(f"""WITH {_CELLS}, {_alloc_sql(_TWO)}, s AS (SELECT fold_id, id, bool_or(policy_id = 'pure_risk') AS a, bool_or(policy_id = 'floor_10') AS b FROM dec WHERE mechanism <> 'none' GROUP BY ALL)
+@query(f"""WITH {_CELLS}, {_alloc_sql(_TWO)}, s AS (SELECT fold_id, id, bool_or(policy_id = 'pure_risk') AS a, bool_or(policy_id = 'floor_10') AS b FROM dec WHERE mechanism <> 'not_selected' GROUP BY ALL)
  SELECT fold_id, count(*) FILTER (WHERE a AND NOT b) AS only_left, count(*) FILTER (WHERE b AND NOT a) AS only_right, bool_and(a AND b) AS same FROM s GROUP BY 1""")
 def queue_difference(spark, sf_dir):
     return stability.queue_difference(decided(spark, sf_dir, _TWO).where("is_selected"), CELL, "pure_risk", "floor_10")
@@ -885,7 +884,7 @@ def bootstrap_brier(spark, sf_dir):
     return b.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
-@query(f"""WITH {_CELLS}, {_alloc_sql()}, said AS (SELECT fold_id, id, area, CASE WHEN id % 6 = 0 THEN 'accept' END AS decision, CASE WHEN id % 12 = 0 THEN 'local_knowledge' END AS reason FROM dec WHERE mechanism <> 'none'),
+@query(f"""WITH {_CELLS}, {_alloc_sql()}, said AS (SELECT fold_id, id, area, CASE WHEN id % 6 = 0 THEN 'accept' END AS decision, CASE WHEN id % 12 = 0 THEN 'local_knowledge' END AS reason FROM dec WHERE mechanism <> 'not_selected'),
  chk AS (SELECT fold_id, count(*) AS n_rows, count(decision) AS n_decided, count(*) - count(DISTINCT id) AS n_repeated, CAST(0 AS BIGINT) AS n_unranked, count(*) FILTER (WHERE area IS NULL) AS n_unplaced, count(*) FILTER (WHERE decision IS NOT NULL AND coalesce(reason, '') = '') AS n_unexplained FROM said GROUP BY 1)
  SELECT *, n_repeated + n_unplaced + n_unexplained = 0 AS ready, CASE WHEN n_decided = 0 THEN 'draft' WHEN n_decided >= n_rows THEN 'adjusted' ELSE 'under_supervisor_review' END AS status FROM chk""")
 def approval_checks(spark, sf_dir):

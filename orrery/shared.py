@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The cluster names that folder in ``spark.checkpoint.dir``; only where the setting is
-absent (tests, a local shell) is a temporary folder chosen.  A table written there cuts
+absent and the master is local (tests, a local shell) is a temporary folder chosen.  A table written there cuts
 the lineage and outlives any executor, so a lost executor costs a re-read, not a re-run.
 """
 
@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="orrery-")

@@ -25,16 +25,9 @@ def _mapped(column: str, names: dict[str, str]):
     return out
 
 
-def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One dated, typed record per order, with its severity flags, score and group.
-
-    The flags aggregate the order's lines before the join, so the join is one to one.
-    """
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("inspection_id")).agg(
-        F.bool_or(F.col("l_returnflag") == "R").alias("priority"), F.bool_or(F.col("l_returnflag") == "A").alias("foundation"), F.count("*").alias("entries")
-    )
-    places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("establishment_id"), F.col("c_nationkey").alias("area"))
-    orders = table(spark, sf_dir, "orders").select(
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dated, typed record per order, from the orders alone."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("inspection_id"),
         F.col("o_custkey").alias("establishment_id"),
         F.col("o_orderdate").cast("date").alias("d"),
@@ -43,7 +36,18 @@ def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("NAME "), (F.col("o_orderkey") % 3).cast("string")).alias("name"),
         (F.col("o_totalprice") / 500000).alias("score"),
     )
-    rows = orders.join(lines, "inspection_id", "left").join(places, "establishment_id", "left")
+
+
+def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with their severity flags, label and group.
+
+    The flags aggregate the order's lines before the join, so the join is one to one.
+    """
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("inspection_id")).agg(
+        F.bool_or(F.col("l_returnflag") == "R").alias("priority"), F.bool_or(F.col("l_returnflag") == "A").alias("foundation"), F.count("*").alias("entries")
+    )
+    places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("establishment_id"), F.col("c_nationkey").alias("area"))
+    rows = records(spark, sf_dir).join(lines, "inspection_id", "left").join(places, "establishment_id", "left")
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("priority", "foundation")}
     return rows.withColumns(flags | {"entries": F.coalesce("entries", F.lit(0)), "label": F.coalesce("priority", F.lit(False)).cast("int")})
 

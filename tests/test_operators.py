@@ -33,8 +33,8 @@ def test_reserve_by_hand(spark):
     rows = [("a", i, 1.0 - i / 10, 0, i in (5, 6), 4) for i in range(8)]
     df = spark.createDataFrame(rows, "cell string, id int, score double, label int, eligible boolean, k int")
     got = {r.id: r.reason for r in policy.allocate(df, ["cell"], F.lit(0.5), F.lit(False)).collect()}
-    assert [i for i, r in got.items() if r == "selected_by_reserve"] == [5, 6]
-    assert [i for i, r in got.items() if r == "displaced_by_reserve"] == [2, 3]
+    assert sorted(i for i, r in got.items() if r == "selected_by_coverage_reserve") == [5, 6]
+    assert sorted(i for i, r in got.items() if r == "not_selected_capacity_exhausted") == [2, 3, 4, 7]
 
 
 def test_fill_and_backlog(spark):
