@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Trailing legal forms, unit markers, directions and street suffixes.
-LEGAL_FORMS = ["LLC", "L L C", "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "LLP", "LP", "PC", "PLLC"]
-UNIT_MARKERS = ["APT", "UNIT", "SUITE", "STE", "FL", "FLOOR", "RM", "ROOM"]
+LEGAL_FORMS = ["LLC", "L L C", "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LP", "LLP", "PC", "PLLC", "DBA"]
+UNIT_MARKERS = ["SUITE", "STE", "APARTMENT", "APT", "UNIT", "ROOM", "RM", "FLOOR", "FL", "BUILDING", "BLDG", "BASEMENT", "BSMT", "SPACE", "SPC", "REAR", "LL"]
 SUFFIXES = ["ST", "STREET", "AVE", "AVENUE", "BLVD", "BOULEVARD", "RD", "ROAD", "DR", "DRIVE", "PL", "PLACE", "CT", "COURT", "PKWY", "LN", "LANE"]
 FOLDED_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED_TO = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
@@ -27,7 +27,7 @@ def name_key(c: Column) -> Column:
     s = F.upper(F.translate(c, FOLDED_FROM, FOLDED_TO))
     s = F.regexp_replace(F.regexp_replace(s, "'S\\b", "S"), "&", " AND ")
     s = F.trim(F.regexp_replace(F.regexp_replace(s, "[^A-Z0-9]+", " "), " +", " "))
-    cut = F.regexp_replace(F.regexp_replace(s, f"( ({'|'.join(LEGAL_FORMS)}))+$", ""), "^THE ", "")
+    cut = F.regexp_replace(F.regexp_replace(s, f"( ({'|'.join(LEGAL_FORMS)}))+$", ""), "^(THE )+", "")
     return F.when(cut == "", s).otherwise(cut)
 
 

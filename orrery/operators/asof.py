@@ -102,3 +102,10 @@ def universe(history: DataFrame, planning: str) -> DataFrame:
     return before.groupBy("establishment_id").agg(
         F.count("*").alias("prior_count"), F.min("d").alias("first_date"), F.max("d").alias("last_date"), F.max_by("name", order).alias("last_name"), F.max_by("kind", order).alias("last_kind")
     ).select(F.concat(F.lit(f"CANDIDATE::{planning}::"), F.col("establishment_id").cast("string")).alias("candidate_id"), "*")
+
+
+def fixed_fold(rows: DataFrame, name: str, start: str, train_end: str, calibration_end: str, test_end: str) -> DataFrame:
+    """Rows of a fold whose dates are given, with their split."""
+    day = lambda x: F.lit(x).cast("date")
+    split = F.when(F.col("d") <= day(train_end), "train").when(F.col("d") <= day(calibration_end), "calibration").otherwise("test")
+    return rows.where(F.col("d").between(day(start), day(test_end))).withColumn("split", split).withColumn("fold_id", F.lit(name))

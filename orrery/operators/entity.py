@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import signature
+from ..shared import stored
+from .geo import haversine_km
 from .graph import connected_components
 
+# The limits of blocks, coordinates and clusters.
 MAX_BLOCK = 5000
-MAX_ADDRESSES, MAX_ZIPS = 4, 1
+MAX_ADDRESSES, MAX_ZIPS, MAX_SPAN_M = 4, 1, 2000.0
+MAX_AT_COORDINATE = 4
+NEAR_HOUSES = 2
+#: What the pair rules read of a node.
+FIELDS = ["name", "aka", "address", "licence", "house", "street", "zip", "unit", "direction", "facility", "geo"]
 
 
 def nodes(rows: DataFrame) -> DataFrame:
@@ -32,46 +39,134 @@ def block_pairs(rows: DataFrame, keys: list[str], most: int | None = MAX_BLOCK)
     return pairs, size.where(large)
 
 
+def block_summary(rows: DataFrame, keys: list[str], most: int = MAX_BLOCK) -> DataFrame:
+    """Per kind of block: how many there are, rows in them, the largest, lone ones, and those over
+    the limit."""
+    long = rows.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys))).alias("k")).select("id", "k.*").where("value is not null")
+    size = long.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    return size.groupBy("kind").agg(F.count("*").alias("n_blocks"), F.sum("n").alias("n_rows"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("n_alone"), F.count_if(F.col("n") > most).alias("n_over"))
+
+
+def crowded_coordinates(rows: DataFrame, most: int = MAX_AT_COORDINATE) -> DataFrame:
+    """Coordinates that more than ``most`` addresses share: no sign of one place."""
+    return rows.where("geo is not null and address is not null").groupBy("geo").agg(F.countDistinct("address").alias("n_addresses")).where(F.col("n_addresses") > most)
+
+
+def _tokens(c: Column) -> Column:
+    return F.coalesce(F.array_distinct(F.split(c, " ")), F.array().cast("array<string>"))
+
+
+def _inside(x: Column, y: Column) -> Column:
+    """x is a strict subset of y, both sets of tokens that are not empty."""
+    return (F.size(x) > 0) & (F.size(F.array_except(x, y)) == 0) & (F.size(x) < F.size(y))
+
+
+def signals(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The twelve signals of every pair ``a < b`` of nodes; ``facility_agree`` may be null.
+
+    A coordinate counts only within one ZIP and unless ``crowded_coordinates`` has it.
+    """
+    crowded = crowded_coordinates(rows).select("geo", F.lit(True).alias("crowded"))
+    rows = rows.join(crowded, "geo", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    side = lambda s: rows.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in [*FIELDS, "crowded"]))
+    p = pairs.join(side("a"), "a").join(side("b"), "b")
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    same = lambda c: F.coalesce(a(c) == b(c), F.lit(False))
+    differ = lambda c: F.coalesce(a(c) != b(c), F.lit(False))
+    names = [F.array_compact(F.array(x("name"), x("aka"))) for x in (a, b)]
+    tokens = {(s, c): _tokens(x(c)) for s, x in (("a", a), ("b", b)) for c in ("name", "aka")}
+    contained = F.lit(False)
+    for left in ("name", "aka"):
+        for right in ("name", "aka"):
+            contained = contained | _inside(tokens["a", left], tokens["b", right]) | _inside(tokens["b", right], tokens["a", left])
+    known_aka = a("aka").isNotNull() & b("aka").isNotNull()
+    answered = F.array_contains(names[1], a("aka")) | F.array_contains(names[0], b("aka")) | _inside(tokens["a", "aka"], tokens["b", "aka"]) | _inside(tokens["b", "aka"], tokens["a", "aka"])
+    digits = [F.filter(F.array_distinct(F.concat(tokens[s, "name"], tokens[s, "aka"])), lambda t: t.rlike("^[0-9]+$")) for s in ("a", "b")]
+    away = F.abs(a("house") - b("house"))
+    return p.select(
+        "a", "b", same("licence").alias("same_license"), same("address").alias("same_addr_key"), (same("geo") & ~a("crowded") & same("zip")).alias("same_coord"),
+        (same("street") & same("zip") & F.coalesce((away > 0) & (away <= NEAR_HOUSES), F.lit(False))).alias("near_addr"), same("zip").alias("same_zip"),
+        F.coalesce(F.arrays_overlap(*names), F.lit(False)).alias("name_exact"), contained.alias("name_containment"), F.coalesce(known_aka & ~answered, F.lit(False)).alias("aka_conflict"),
+        ((F.size(digits[0]) > 0) & (F.size(digits[1]) > 0) & ~F.arrays_overlap(*digits)).alias("digit_conflict"),
+        differ("unit").alias("unit_conflict"), differ("direction").alias("dir_conflict"), (a("facility") == b("facility")).alias("facility_agree"),
+    )
+
+
 def verdicts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The first rule that fits each pair, and whether it links.
 
-    S1 licence and address, S2 address and name, S3 licence, near address and name, P1
-    licence and near address, N2 vetoed by conflicting units, N1 one signal, N0 none.
+    Vetoes come first: V1 directions, V2 units, V3 digits, V4 trade names where the name decides;
+    all but V1 yield to an equal licence.  Then S1 licence and place, S2 place and name, S3 licence,
+    near address and name; P1 licence and near address, P2 place and contained name unless the
+    facilities differ; A1 licence elsewhere, A2 place and contained name; N2, N1 place alone, N0.
     """
-    cols = ["name", "address", "licence", "house", "street", "zip", "unit"]
-    side = lambda s: rows.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in cols))
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
-    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
-    lic, adr, nam = same("licence"), same("address"), same("name")
-    near = same("street") & same("zip") & F.coalesce(F.abs(F.col("a_house") - F.col("b_house")).between(1, 2), F.lit(False))
-    unit = F.coalesce((F.col("a_unit") != F.col("b_unit")), F.lit(False)) & ~lic
-    rule = F.when(unit, "N2").when(lic & adr, "S1").when(adr & nam, "S2").when(lic & near & nam, "S3").when(lic & near, "P1").when(lic | adr | nam, "N1").otherwise("N0")
-    return p.select("a", "b", rule.alias("rule"), rule.isin("S1", "S2", "S3").alias("strong"), rule.isin("S1", "S2", "S3", "P1").alias("linked"))
+    s = signals(pairs, rows)
+    lic, near, exact, part = (F.col(c) for c in ("same_license", "near_addr", "name_exact", "name_containment"))
+    place = F.col("same_addr_key") | F.col("same_coord")
+    agree = F.col("facility_agree")
+    veto = F.when(F.col("dir_conflict"), "V1").when(F.col("unit_conflict") & ~lic, "V2").when(F.col("digit_conflict") & ~lic, "V3").when((exact | part) & F.col("aka_conflict") & ~lic, "V4")
+    rule = (
+        F.when(veto.isNotNull(), veto).when(lic & place, "S1").when(place & exact, "S2").when(lic & near & exact, "S3").when(lic & near, "P1")
+        .when(place & part & F.coalesce(agree, F.lit(True)), "P2").when(lic & ~place & ~near, "A1").when(place & part, "A2")
+        .when(place & F.coalesce(agree, F.lit(False)), "N2").when(place, "N1").otherwise("N0")
+    )
+    return s.select("a", "b", rule.alias("rule")).withColumns({"strong": F.col("rule").isin("S1", "S2", "S3"), "linked": F.col("rule").isin("S1", "S2", "S3", "P1", "P2")})
+
+
+def check_invariants(labelled: DataFrame, rows: DataFrame) -> DataFrame:
+    """What every ``cluster`` violates, one row a cluster with a violation: at most four addresses,
+    one ZIP, one unit, one direction, and 2,000 m between any two members.
+
+    Distances are taken between distinct coordinates of clusters that keep the limit of addresses,
+    so a cluster that chained far is not paired up.
+    """
+    m = labelled.select("id", "cluster").join(rows.select("id", "address", "zip", "unit", "direction", "lat", "lon"), "id")
+    g = m.groupBy("cluster").agg(*(F.countDistinct(c).alias(f"n_{c}") for c in ("address", "zip", "unit", "direction")))
+    spots = m.where("lat is not null and lon is not null").select("cluster", "lat", "lon").distinct()
+    spots = spots.join(g.where(F.col("n_address") <= MAX_ADDRESSES).select("cluster"), "cluster", "left_semi")
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    wide = spots.join(spots.toDF("cluster", "lat2", "lon2"), "cluster").where((F.col("lat") < F.col("lat2")) | ((F.col("lat") == F.col("lat2")) & (F.col("lon") < F.col("lon2")))).where(km * 1000 > MAX_SPAN_M)
+    g = g.join(wide.select("cluster").distinct().withColumn("wide", F.lit(True)), "cluster", "left")
+    reasons = F.array_compact(F.array(
+        F.when(F.col("n_address") > MAX_ADDRESSES, "too_many_addresses"), F.when(F.col("n_zip") > MAX_ZIPS, "too_many_zips"), F.when(F.col("n_unit") > 1, "conflicting_units"),
+        F.when(F.col("n_direction") > 1, "conflicting_directionals"), F.when(F.col("wide"), "geographic_spread")))
+    return g.select("cluster", F.array_join(reasons, "+").alias("violations")).where("violations <> ''")
 
 
 def clusters(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components that keep the invariants; failing ones fall back to strong links, then alone.
+    """``id, cluster, confidence, split_reason, establishment_id``: components that keep the invariants.
 
-    Labels are the smallest member id; confidence is high, medium or reduced accordingly.
+    A component of strong and probable links that fails is built again from strong links alone;
+    what fails still is split by address (no address: alone), and what fails then is set alone.
+    Confidence is high, medium where a member has a probable link, and reduced after any failure.
     """
-    def label(members: DataFrame, links: DataFrame) -> DataFrame:
+    ids = rows.select("id")
+
+    def label(links: DataFrame) -> DataFrame:
         parts = connected_components(links, "a", "b")
-        return members.join(parts, members["id"] == parts["node"], "left").select(members["*"], F.coalesce("label", "id").alias("cluster"))
-
-    def failing(labelled: DataFrame) -> DataFrame:
-        g = labelled.groupBy("cluster").agg(F.countDistinct("address").alias("na"), F.countDistinct("zip").alias("nz"))
-        return g.where((F.col("na") > MAX_ADDRESSES) | (F.col("nz") > MAX_ZIPS)).select("cluster")
-
-    members = rows.select("id", "address", "zip")
-    first = label(members, edges.where("linked"))
-    bad = failing(first)
-    good = first.join(bad, "cluster", "left_anti").select("id", "cluster", F.lit("high").alias("confidence"))
-    again = label(first.join(bad, "cluster", "left_semi").select("id", "address", "zip"), edges.where("strong"))
-    bad2 = failing(again)
-    good2 = again.join(bad2, "cluster", "left_anti").select("id", "cluster", F.lit("medium").alias("confidence"))
-    rest = again.join(bad2, "cluster", "left_semi").select("id", F.col("id").alias("cluster"), F.lit("reduced").alias("confidence"))
-    out = good.unionByName(good2).unionByName(rest)
-    return out.withColumn("establishment_id", F.format_string("EST-%011d", F.col("cluster")))
+        return ids.join(parts, ids["id"] == parts["node"], "left").select("id", F.coalesce("label", "id").alias("cluster"))
+
+    def parted(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # Stored, as each rung of the ladder reads the one before more than once.
+        labelled = stored(labelled, "labelled")
+        bad = stored(check_invariants(labelled, rows).select("cluster"), "failing")
+        return labelled.join(bad, "cluster", "left_anti"), labelled.join(bad, "cluster", "left_semi")
+
+    linked = edges.where("linked")
+    probable = linked.where("not strong").select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("probable", F.lit(True))
+    first = label(linked)
+    good, failing = parted(first)
+    unsure = good.join(probable, "id").select("cluster").distinct().withColumn("unsure", F.lit(True))
+    done = good.join(unsure, "cluster", "left").select("id", "cluster", F.when(F.col("unsure"), "medium").otherwise("high").alias("confidence"), F.lit(None).cast("string").alias("split_reason"))
+    reduced = lambda part, why: part.select("id", "cluster", F.lit("reduced").alias("confidence"), F.lit(why).alias("split_reason"))
+    good, failing = parted(label(linked.where("strong")).join(failing.select("id"), "id", "left_semi"))
+    done = done.unionByName(reduced(good, "probable_edges_dropped"))
+    by_address = failing.join(rows.select("id", "address"), "id").withColumn("_own", F.when(F.col("address").isNull(), F.col("id")))
+    least = by_address.groupBy("cluster", "address", "_own").agg(F.min("id").alias("least"))
+    by_address = by_address.join(least, (by_address["cluster"] == least["cluster"]) & by_address["address"].eqNullSafe(least["address"]) & by_address["_own"].eqNullSafe(least["_own"])).select("id", F.col("least").alias("cluster"))
+    good, failing = parted(by_address)
+    done = done.unionByName(reduced(good, "address_split")).unionByName(reduced(failing.select("id", F.col("id").alias("cluster")), "atomised"))
+    return done.withColumn("establishment_id", F.format_string("EST-%011d", F.col("cluster")))
 
 
 def collapse_same_day(rows: DataFrame) -> DataFrame:

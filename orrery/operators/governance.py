@@ -85,3 +85,63 @@ def nearest_order(places: DataFrame, group: str) -> DataFrame:
         return pd.DataFrame({group: left[group].to_numpy()[order], "id": left.id.to_numpy()[order], "visit": np.arange(1, len(order) + 1)})
 
     return places.groupBy(group).applyInPandas(walk, f"{group} {kind[group]}, id {kind['id']}, visit long")
+
+
+def adjust(plan: DataFrame, days: DataFrame, adjustments: DataFrame, cell: list[str]) -> DataFrame:
+    """The outcome of every adjustment of a plan, applied in id order.
+
+    ``plan``: id, status, slot_date, slot_index, final_rank, mechanism; ``adjustments``:
+    adjustment_id, id, action (cancel, defer_to_date, advance_to_date), target_date.  A moved row
+    takes the first free slot of its new day, else that of the day's lowest standing risk row,
+    which lands in the slot left.  Reserve rows are never displaced, and no row leaves the
+    horizon.  Order matters inside a cell, which holds one approved queue: its size is the
+    capacity, not the data.  What the rules refuse is an outcome of its own: ``refused_day``,
+    ``refused_direction``, ``refused_full``.
+    """
+    kinds = dict(plan.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in cell), f"adjustment_id string, id {kinds['id']}, action string, outcome string, final_status string, final_date date, displaced_id {kinds['id']}"])
+    both = plan.select(*cell, "id", "status", "slot_date", "slot_index", "final_rank", "mechanism")
+    rows = both.join(days.groupBy(*cell).agg(F.map_from_entries(F.collect_list(F.struct("slot_date", F.col("n_slots").cast("int")))).alias("_days")), cell, "left")
+
+    def run(key: tuple, p: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        slots = dict(p["_days"].iloc[0] or {}) if len(p) else {}
+        now = {r.id: [r.status, r.slot_date, None if pd.isna(r.slot_index) else int(r.slot_index), int(r.final_rank), r.mechanism] for r in p.itertuples()}
+        out = []
+
+        def taken(day) -> dict[int, object]:
+            return {v[2]: i for i, v in now.items() if v[1] == day and v[2] is not None}
+
+        for r in a.sort_values("adjustment_id").itertuples():
+            row, displaced, status, date = now.get(r.id), None, None, None
+            if row is None:
+                outcome = "row_not_in_plan"
+            elif r.action == "cancel":
+                outcome, status = "applied", "cancelled"
+                row[0], row[1], row[2] = status, None, None
+            elif row[2] is None:
+                outcome, status = "no_op_not_scheduled", row[0]
+            elif r.target_date not in slots:
+                outcome = "refused_day"
+            elif r.target_date == row[1]:
+                outcome, status, date = "no_op_already_on_date", row[0], row[1]
+            elif (r.action == "defer_to_date") != (r.target_date > row[1]):
+                outcome = "refused_direction"
+            else:
+                used = taken(r.target_date)
+                free = next((s for s in range(1, slots[r.target_date] + 1) if s not in used), None)
+                if free is None:
+                    standing = [(now[i][3], i) for i in used.values() if now[i][4] == RISK and i != r.id]
+                    displaced = max(standing)[1] if standing else None
+                if free is None and displaced is None:
+                    outcome = "refused_full"
+                else:
+                    if displaced is not None:
+                        free = now[displaced][2]
+                        now[displaced][:3] = ["deferred", row[1], row[2]]
+                    status = "deferred" if r.action == "defer_to_date" else "scheduled"
+                    row[:3] = [status, r.target_date, free]
+                    outcome, date = "applied", r.target_date
+            out.append((*key, r.adjustment_id, r.id, r.action, outcome, status, date, displaced))
+        return pd.DataFrame(out, columns=[*cell, "adjustment_id", "id", "action", "outcome", "final_status", "final_date", "displaced_id"])
+
+    return rows.groupBy(*cell).cogroup(adjustments.groupBy(*cell)).applyInPandas(run, schema)

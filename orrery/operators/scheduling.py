@@ -62,3 +62,38 @@ def preservation(plan: DataFrame, cell: list[str]) -> DataFrame:
     p = plan.where("status = 'scheduled'").withColumn("pos", F.row_number().over(w))
     p = p.withColumn("depth", F.greatest(F.lit(0), F.coalesce(F.max("final_rank").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("final_rank")))
     return p.groupBy(*cell).agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"), F.count_if(F.col("depth") > 0).alias("n_inverted"), F.corr("pos", "final_rank").alias("spearman"))
+
+
+def project_backlog(plan: DataFrame, days: DataFrame, calendar: DataFrame, cell: list[str], k: int) -> DataFrame:
+    """Every backlog row with its place, what the horizon lacks, and the later day it would fit on.
+
+    The days after the horizon take the backlog in rank order; a row that no day takes has nulls.
+    """
+    end = days.groupBy(*cell).agg(F.max("slot_date").alias("_end"), F.sum("n_slots").alias("horizon_slots"), F.count("*").alias("_days"))
+    rest = calendar.join(end, cell).where(F.col("slot_date") > F.col("_end")).select(*cell, "slot_date", "n_slots")
+    by_day = Window.partitionBy(*cell).orderBy("slot_date")
+    rest = rest.withColumn("_before", F.coalesce(F.sum("n_slots").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_nth", F.row_number().over(by_day))
+    late = plan.where("status = 'backlog'").withColumn("backlog_position", F.row_number().over(Window.partitionBy(*cell).orderBy("final_rank", "id")))
+    late = late.select(*cell, "id", "backlog_position").join(end, cell)
+    on = [late[c] == rest[c] for c in cell] + [(F.col("backlog_position") > F.col("_before")) & (F.col("backlog_position") <= F.col("_before") + F.col("n_slots"))]
+    out = late.join(rest, on, "left")
+    return out.select(*(late[c] for c in cell), "id", "backlog_position", "horizon_slots", F.greatest(F.lit(0), F.lit(k) - F.col("horizon_slots")).alias("slots_short"), (F.col("_days") + F.col("_nth")).cast("int").alias("would_fit_on_day_index"), F.col("slot_date").alias("first_available_date"))
+
+
+def versioned(plans: list[DataFrame], names: list[str]) -> DataFrame:
+    """Versions of a plan in one table: ``version``, and ``replan_index`` from 0."""
+    out = None
+    for i, (plan, name) in enumerate(zip(plans, names)):
+        one = plan.withColumn("version", F.lit(name)).withColumn("replan_index", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def latest(versions: DataFrame, key: list[str]) -> DataFrame:
+    """Every key's row of its last version."""
+    return versions.groupBy(*key).agg(F.max_by(F.struct(*(c for c in versions.columns if c not in key)), "replan_index").alias("_r")).select(*key, "_r.*")
+
+
+def risk_first(rows: DataFrame, block: list[str]) -> DataFrame:
+    """``visit``: the order inside a block by model rank, then id."""
+    return rows.withColumn("visit", F.row_number().over(Window.partitionBy(*block).orderBy("model_rank", "id")))

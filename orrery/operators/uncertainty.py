@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import logit, sigmoid
 from ..shared import stored
+from .running import by_risk, day_run, running
 
 MODULUS = 2**31 - 1
 #: Chances that a Poisson(1) count is at most 0, 1, 2, ...
@@ -106,3 +107,40 @@ def approval_checks(plan: DataFrame, cell: list[str]) -> DataFrame:
     )
     status = F.when(F.col("n_decided") == 0, "draft").when(F.col("n_decided") >= F.col("n_rows"), "adjusted").otherwise("under_supervisor_review")
     return g.withColumn("ready", F.expr("n_repeated + n_unranked + n_unplaced + n_unexplained = 0")).withColumn("status", status)
+
+
+def month_effects(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """Per cell and month: the mean log odds over the year's, weighted by rows."""
+    r = rows.withColumn("_y", F.year("d")).withColumn("month", F.month("d"))
+    m = r.groupBy(*cell, "_y", "month").agg(F.count("*").alias("n"), logit(F.avg("label")).alias("lm"))
+    y = r.groupBy(*cell, "_y").agg(logit(F.avg("label")).alias("ly"))
+    return m.join(y, [*cell, "_y"]).groupBy(*cell, "month").agg((F.sum(F.col("n") * (F.col("lm") - F.col("ly"))) / F.sum("n")).alias("effect"))
+
+
+def label_redraw(rows: DataFrame, effects: DataFrame, cell: list[str], reps: int) -> DataFrame:
+    """``p05, p50, p95`` of the discovery efficiency of the risk order, and the rate of labels that
+    change, when every label is drawn anew for the date that the order gives its row.
+
+    A row's own number keeps its label at its real date: below the real probability for a
+    positive, above it otherwise; the label at the new date compares that number with the new
+    probability.  Numbers are a repeatable hash of id and replication.
+    """
+    ranked = by_risk(rows.select(*cell, "id", "d", "label", "score"), cell)
+    slots = running(rows.select(*cell, "d", "id"), cell, day_run("d"), [F.asc("d"), F.asc("id")], {}).select(*cell, "pos", F.col("d").alias("slot"))
+    base = rows.groupBy(*cell).agg(logit(F.avg("label")).alias("_z"))
+    at = lambda name, day: effects.select(*cell, F.col("month").alias(f"_{name}"), F.col("effect").alias(name)).withColumnRenamed(f"_{name}", f"_m_{day}")
+    p = ranked.join(slots, [*cell, "pos"]).join(base, cell).withColumn("_m_d", F.month("d")).withColumn("_m_slot", F.month("slot"))
+    p = p.join(at("_real", "d"), [*cell, "_m_d"], "left").join(at("_sim", "slot"), [*cell, "_m_slot"], "left")
+    real, sim = (1 / (1 + F.exp(-(F.col("_z") + F.coalesce(c, F.lit(0.0))))) for c in ("_real", "_sim"))
+    p = stored(p.select(*cell, "id", "label", "pos", real.alias("p_real"), sim.alias("p_sim")), "redraw")
+    u = uniform(F.col("id"), F.col("rep"))
+    d = p.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_u", u)
+    drawn = F.when(F.col("label") == 1, F.col("_u") * F.col("p_real")).otherwise(F.col("p_real") + F.col("_u") * (1 - F.col("p_real"))) < F.col("p_sim")
+    d = d.withColumn("drawn", drawn.cast("int"))
+    # Positions are the same in every replication, so their grid deals the rows.
+    each = [*cell, "rep"]
+    cum = running(d, each, F.floor(F.col("pos") / 4096), [F.asc("pos")], {"cum": F.col("drawn")}, "_at")
+    g = cum.groupBy(*each).agg(F.count("*").alias("n"), F.sum("drawn").alias("p"), F.sum(2 * F.col("cum") - F.col("drawn")).alias("t"), F.count_if(F.col("drawn") != F.col("label")).alias("flips"))
+    nde = F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), (F.col("t") / (2.0 * F.col("n") * F.col("p")) - 0.5) / (0.5 - F.col("p") / (2.0 * F.col("n"))))
+    g = g.withColumn("nde", nde)
+    return g.groupBy(*cell).agg(F.percentile("nde", F.lit(0.05)).alias("p05"), F.percentile("nde", F.lit(0.5)).alias("p50"), F.percentile("nde", F.lit(0.95)).alias("p95"), (F.sum("flips") / F.sum("n")).alias("flip_rate"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..operators import asof, audit, calibrate, entity, geo, governance, policy, ranking, scheduling, stability, uncertainty
 from ..operators.graph import connected_components
+from ..shared import stored
 from ..sources.tables import inspections, manifest, records, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,11 +135,13 @@ def _raw(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id int, nm string, addr string, zip string, lic string, lat string, lon string")
 
 
-_LEGAL, _UNITS, _SUFF = "|".join(text.LEGAL_FORMS), "|".join(text.UNIT_MARKERS), "|".join(text.SUFFIXES)
+# The SQL has lists of its own, so that a slip in the functions' lists shows.
+_LEGAL = "LLC|L L C|INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LTD|LP|LLP|PC|PLLC|DBA"
+_UNITS = "SUITE|STE|APARTMENT|APT|UNIT|ROOM|RM|FLOOR|FL|BUILDING|BLDG|BASEMENT|BSMT|SPACE|SPC|REAR|LL"
 
 
 @query(rf"""WITH a AS (SELECT id, zip, lic, lat, lon, addr, trim(regexp_replace(regexp_replace(replace(regexp_replace(upper(strip_accents(nm)), '''S\b', 'S', 'g'), '&', ' AND '), '[^A-Z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS s FROM {_RAW}),
- b AS (SELECT *, regexp_replace(regexp_replace(s, '( ({_LEGAL}))+$', ''), '^THE ', '') AS c, substr(regexp_replace(zip, '[^0-9]', '', 'g'), 1, 5) AS z FROM a)
+ b AS (SELECT *, regexp_replace(regexp_replace(s, '( ({_LEGAL}))+$', ''), '^(THE )+', '') AS c, substr(regexp_replace(zip, '[^0-9]', '', 'g'), 1, 5) AS z FROM a)
  SELECT id, CASE WHEN c = '' THEN s ELSE c END AS name_key, CASE WHEN length(z) = 5 AND z <> '00000' THEN z END AS zip_key, nullif(nullif(trim(lic), ''), '0') AS licence_key,
   list_aggregate(list_sort(list_distinct(regexp_extract_all(upper(addr), '\b(?:{_UNITS})\.? *#? *([A-Z0-9]+)', 1))), 'string_agg', '|') AS units0,
   CASE WHEN lat IS NULL OR lon IS NULL THEN 'missing' WHEN TRY_CAST(lat AS DOUBLE) IS NULL OR TRY_CAST(lon AS DOUBLE) IS NULL THEN 'unreadable' WHEN NOT (TRY_CAST(lat AS DOUBLE) BETWEEN 41.6 AND 42.1 AND TRY_CAST(lon AS DOUBLE) BETWEEN -87.95 AND -87.5) THEN 'outside' ELSE lat || ',' || lon END AS geo_key FROM b""")
@@ -313,21 +316,49 @@ def scope_filter(spark, sf_dir):
 
 
 def _places(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("id"), F.concat(F.lit("NAME "), (F.col("c_custkey") % 40).cast("string")).alias("name"), F.concat((F.col("c_custkey") % 60).cast("string"), F.lit(" MAIN")).alias("address"),
-        (F.col("c_custkey") % 75).cast("string").alias("licence"), (F.col("c_custkey") % 60).cast("int").alias("house"), F.lit("MAIN").alias("street"), F.col("c_nationkey").cast("string").alias("zip"),
-        F.when(F.col("c_custkey") % 7 == 0, F.col("c_custkey") % 5).cast("string").alias("unit"))
-
-
-_PLACES = """places AS (SELECT c_custkey AS id, 'NAME ' || CAST(c_custkey % 40 AS VARCHAR) AS name, CAST(c_custkey % 60 AS VARCHAR) || ' MAIN' AS address, CAST(c_custkey % 75 AS VARCHAR) AS licence, CAST(c_custkey % 60 AS INTEGER) AS house, 'MAIN' AS street,
- CAST(c_nationkey AS VARCHAR) AS zip, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey % 5 AS VARCHAR) END AS unit FROM customer),
-pairs AS (SELECT a.id AS a, b.id AS b FROM places a JOIN places b ON a.id < b.id AND (a.licence = b.licence OR (a.address = b.address AND a.zip = b.zip)))"""
+    k = F.col("c_custkey")
+    letter = lambda n: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (n % 20 + 1).cast("int"), F.lit(1))
+    name = F.concat(F.lit("SHOP "), letter(k), F.when(k % 9 == 0, F.concat(F.lit(" "), (k % 3).cast("string"))).otherwise(""))
+    aka = F.when(k % 11 == 0, F.concat(F.lit("SHOP "), letter(k + 1))).when(k % 13 == 0, F.concat(F.lit("SHOP "), letter(k), F.lit(" EXPRESS")))
+    direction = F.when(k % 17 == 0, "N").when(k % 19 == 0, "S")
+    zip_ = F.col("c_nationkey").cast("string")
+    house = (k % 60).cast("int")
+    lat, lon = 41.60 + (k % 30) / 1000, -87.90 + F.col("c_nationkey") / 1000
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("id"), name.alias("name"), aka.alias("aka"), F.concat_ws("|", house.cast("string"), F.concat(F.coalesce(F.concat(direction, F.lit(" ")), F.lit("")), F.lit("MAIN")), zip_).alias("address"),
+        (k % 75).cast("string").alias("licence"), house.alias("house"), F.lit("MAIN").alias("street"), zip_.alias("zip"), F.when(k % 7 == 0, k % 5).cast("string").alias("unit"), direction.alias("direction"),
+        F.when(k % 6 != 0, F.concat(F.lit("F"), (k % 3).cast("string"))).alias("facility"), F.when(k % 4 != 0, lat).alias("lat"), F.when(k % 4 != 0, lon).alias("lon"))
+    return rows.withColumn("geo", F.when(F.col("lat").isNotNull(), F.concat_ws("|", (F.col("id") % 30).cast("string"), "zip")))
+
+
+_PLACES = """places AS MATERIALIZED (SELECT *, CASE WHEN lat IS NOT NULL THEN CAST(id % 30 AS VARCHAR) || '|' || zip END AS geo, CAST(house AS VARCHAR) || '|' || coalesce(direction || ' ', '') || 'MAIN' || '|' || zip AS address FROM (
+  SELECT c_custkey AS id, 'SHOP ' || chr(CAST(65 + c_custkey % 20 AS INTEGER)) || CASE WHEN c_custkey % 9 = 0 THEN ' ' || CAST(c_custkey % 3 AS VARCHAR) ELSE '' END AS name,
+    CASE WHEN c_custkey % 11 = 0 THEN 'SHOP ' || chr(CAST(65 + (c_custkey + 1) % 20 AS INTEGER)) WHEN c_custkey % 13 = 0 THEN 'SHOP ' || chr(CAST(65 + c_custkey % 20 AS INTEGER)) || ' EXPRESS' END AS aka,
+    CAST(c_custkey % 75 AS VARCHAR) AS licence, CAST(c_custkey % 60 AS INTEGER) AS house, 'MAIN' AS street, CAST(c_nationkey AS VARCHAR) AS zip, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey % 5 AS VARCHAR) END AS unit,
+    CASE WHEN c_custkey % 17 = 0 THEN 'N' WHEN c_custkey % 19 = 0 THEN 'S' END AS direction, CASE WHEN c_custkey % 6 <> 0 THEN 'F' || CAST(c_custkey % 3 AS VARCHAR) END AS facility,
+    CASE WHEN c_custkey % 4 <> 0 THEN 41.60 + (c_custkey % 30) / 1000 END AS lat, CASE WHEN c_custkey % 4 <> 0 THEN -87.90 + c_nationkey / 1000 END AS lon FROM customer)),
+pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM places a JOIN places b ON a.id < b.id AND a.licence = b.licence UNION SELECT a.id, b.id FROM places a JOIN places b ON a.id < b.id AND a.address = b.address
+  UNION SELECT a.id, b.id FROM places a JOIN places b ON a.id < b.id AND a.geo = b.geo)"""
+
+_SUB = lambda x, y: f"(len({x}) > 0 AND len({x}) < len({y}) AND list_has_all({y}, {x}))"
+_SIGNALS = f"""crowded AS (SELECT geo FROM places WHERE geo IS NOT NULL AND address IS NOT NULL GROUP BY geo HAVING count(DISTINCT address) > 4),
+tok AS (SELECT *, geo IN (SELECT geo FROM crowded) AS packed, list_filter([name, aka], lambda x: x IS NOT NULL) AS keys, list_distinct(string_split(name, ' ')) AS nt, coalesce(list_distinct(string_split(aka, ' ')), []) AS kt FROM places),
+tk AS (SELECT *, list_filter(list_distinct(list_concat(nt, kt)), lambda x: regexp_full_match(x, '[0-9]+')) AS dg FROM tok),
+sig AS MATERIALIZED (SELECT p.a, p.b, coalesce(x.licence = y.licence, false) AS same_license, coalesce(x.address = y.address, false) AS same_addr_key, coalesce(x.geo = y.geo AND NOT x.packed AND x.zip = y.zip, false) AS same_coord,
+  coalesce(x.street = y.street AND x.zip = y.zip AND abs(x.house - y.house) BETWEEN 1 AND 2, false) AS near_addr, coalesce(x.zip = y.zip, false) AS same_zip, list_has_any(x.keys, y.keys) AS name_exact,
+  {_SUB('x.nt', 'y.nt')} OR {_SUB('y.nt', 'x.nt')} OR {_SUB('x.nt', 'y.kt')} OR {_SUB('y.kt', 'x.nt')} OR {_SUB('x.kt', 'y.nt')} OR {_SUB('y.nt', 'x.kt')} OR {_SUB('x.kt', 'y.kt')} OR {_SUB('y.kt', 'x.kt')} AS name_containment,
+  coalesce(x.aka IS NOT NULL AND y.aka IS NOT NULL AND NOT (list_contains(y.keys, x.aka) OR list_contains(x.keys, y.aka) OR {_SUB('x.kt', 'y.kt')} OR {_SUB('y.kt', 'x.kt')}), false) AS aka_conflict,
+  len(x.dg) > 0 AND len(y.dg) > 0 AND NOT list_has_any(x.dg, y.dg) AS digit_conflict, coalesce(x.unit <> y.unit, false) AS unit_conflict, coalesce(x.direction <> y.direction, false) AS dir_conflict, x.facility = y.facility AS facility_agree
+  FROM pairs p JOIN tk x ON x.id = p.a JOIN tk y ON y.id = p.b)"""
+_VERDICTS = """ver AS MATERIALIZED (SELECT a, b, rule, rule IN ('S1', 'S2', 'S3') AS strong, rule IN ('S1', 'S2', 'S3', 'P1', 'P2') AS linked FROM (SELECT a, b, CASE WHEN dir_conflict THEN 'V1' WHEN unit_conflict AND NOT same_license THEN 'V2' WHEN digit_conflict AND NOT same_license THEN 'V3'
+  WHEN (name_exact OR name_containment) AND aka_conflict AND NOT same_license THEN 'V4' WHEN same_license AND pl THEN 'S1' WHEN pl AND name_exact THEN 'S2' WHEN same_license AND near_addr AND name_exact THEN 'S3' WHEN same_license AND near_addr THEN 'P1'
+  WHEN pl AND name_containment AND facility_agree IS DISTINCT FROM false THEN 'P2' WHEN same_license AND NOT pl AND NOT near_addr THEN 'A1' WHEN pl AND name_containment THEN 'A2' WHEN pl AND facility_agree THEN 'N2' WHEN pl THEN 'N1' ELSE 'N0' END AS rule
+  FROM (SELECT *, same_addr_key OR same_coord AS pl FROM sig)))"""
 
 
 def _pairs(spark, sf_dir):
     # As in SQL, without a limit: a pair in a large block is a pair.
-    p = _places(spark, sf_dir)
-    return entity.block_pairs(p.withColumn("spot", F.concat_ws("|", "address", "zip")), ["licence", "spot"], None)[0]
+    return entity.block_pairs(_places(spark, sf_dir), ["licence", "address", "geo"], None)[0]
 
 
 @query(f"WITH {_PLACES} SELECT a, b FROM pairs")
@@ -335,18 +366,62 @@ def block_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query(f"""WITH {_PLACES}, v AS (SELECT p.a, p.b, coalesce(x.unit <> y.unit, false) AND x.licence <> y.licence AS u, x.licence = y.licence AS lic, x.address = y.address AS adr, x.name = y.name AS nam, x.zip = y.zip AND abs(x.house - y.house) BETWEEN 1 AND 2 AS near
-  FROM pairs p JOIN places x ON x.id = p.a JOIN places y ON y.id = p.b),
- r AS (SELECT a, b, CASE WHEN u THEN 'N2' WHEN lic AND adr THEN 'S1' WHEN adr AND nam THEN 'S2' WHEN lic AND near AND nam THEN 'S3' WHEN lic AND near THEN 'P1' WHEN lic OR adr OR nam THEN 'N1' ELSE 'N0' END AS rule FROM v)
- SELECT a, b, rule, rule IN ('S1', 'S2', 'S3') AS strong, rule IN ('S1', 'S2', 'S3', 'P1') AS linked FROM r""")
+@query(f"""WITH {_PLACES}, l AS (SELECT unnest(['licence', 'address', 'geo']) AS kind, unnest([licence, address, geo]) AS value FROM places), s AS (SELECT kind, value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY ALL)
+ SELECT kind, count(*) AS n_blocks, CAST(sum(n) AS BIGINT) AS n_rows, max(n) AS largest, count(*) FILTER (WHERE n = 1) AS n_alone, count(*) FILTER (WHERE n > 5000) AS n_over FROM s GROUP BY kind""")
+def block_sizes(spark, sf_dir):
+    """Blocks by kind, with the number above the reference's limit of 5,000 rows."""
+    return entity.block_summary(_places(spark, sf_dir), ["licence", "address", "geo"])
+
+
+@query(f"WITH {_PLACES} SELECT geo, count(DISTINCT address) AS n_addresses FROM places WHERE geo IS NOT NULL GROUP BY geo HAVING count(DISTINCT address) > 4")
+def crowded_coordinates(spark, sf_dir):
+    return entity.crowded_coordinates(_places(spark, sf_dir))
+
+
+@query(f"WITH {_PLACES}, {_SIGNALS} SELECT * FROM sig")
+def pair_signals(spark, sf_dir):
+    return entity.signals(_pairs(spark, sf_dir), _places(spark, sf_dir))
+
+
+@query(f"WITH {_PLACES}, {_SIGNALS}, {_VERDICTS} SELECT * FROM ver")
 def pair_verdicts(spark, sf_dir):
     return entity.verdicts(_pairs(spark, sf_dir), _places(spark, sf_dir))
 
 
-@query()
+def _invariant_sql(name: str, members: str) -> str:
+    """Violations of every cluster of a table of ``id, cluster``."""
+    return f"""{name}_m AS MATERIALIZED (SELECT m.cluster, p.* FROM {members} m JOIN places p USING (id)),
+ {name}_s AS (SELECT DISTINCT cluster, lat, lon FROM {name}_m WHERE lat IS NOT NULL),
+ {name}_w AS (SELECT DISTINCT a.cluster FROM {name}_s a JOIN {name}_s b USING (cluster) WHERE {_KM} * 1000 > 2000),
+ {name} AS MATERIALIZED (SELECT cluster, concat_ws('+', CASE WHEN na > 4 THEN 'too_many_addresses' END, CASE WHEN nz > 1 THEN 'too_many_zips' END, CASE WHEN nu > 1 THEN 'conflicting_units' END, CASE WHEN nd > 1 THEN 'conflicting_directionals' END,
+   CASE WHEN na <= 4 AND cluster IN (SELECT cluster FROM {name}_w) THEN 'geographic_spread' END) AS violations
+   FROM (SELECT cluster, count(DISTINCT address) AS na, count(DISTINCT zip) AS nz, count(DISTINCT unit) AS nu, count(DISTINCT direction) AS nd FROM {name}_m GROUP BY 1))"""
+
+
+_KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+_FIRST = f"""{_PLACES}, {_SIGNALS}, {_VERDICTS}, e1 AS MATERIALIZED (SELECT a, b FROM ver WHERE linked UNION ALL SELECT b, a FROM ver WHERE linked), e2 AS MATERIALIZED (SELECT a, b FROM ver WHERE strong UNION ALL SELECT b, a FROM ver WHERE strong),
+ r1 AS (SELECT id AS node, id AS label FROM places UNION SELECT e1.b, r1.label FROM r1 JOIN e1 ON e1.a = r1.node), l1 AS MATERIALIZED (SELECT node AS id, min(label) AS cluster FROM r1 GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {_FIRST}, {_invariant_sql('v1', 'l1')} SELECT cluster, violations FROM v1 WHERE violations <> ''")
+def cluster_invariants(spark, sf_dir):
+    """What the components of all links violate, before any is rebuilt."""
+    p = _places(spark, sf_dir)
+    parts = connected_components(entity.verdicts(_pairs(spark, sf_dir), p).where("linked"), "a", "b")
+    return entity.check_invariants(p.join(parts, p["id"] == parts["node"], "left").select("id", F.coalesce("label", "id").alias("cluster")), p)
+
+
+@query(f"""WITH RECURSIVE {_FIRST}, {_invariant_sql('v1', 'l1')}, r2 AS (SELECT id AS node, id AS label FROM places UNION SELECT e2.b, r2.label FROM r2 JOIN e2 ON e2.a = r2.node),
+ l2 AS MATERIALIZED (SELECT node AS id, min(label) AS cluster FROM r2 WHERE node IN (SELECT id FROM l1 JOIN v1 USING (cluster) WHERE violations <> '') GROUP BY node), {_invariant_sql('v2', 'l2')},
+ f2 AS (SELECT l2.id, l2.cluster, address FROM l2 JOIN v2 USING (cluster) JOIN places USING (id) WHERE violations <> ''), l3 AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY cluster, coalesce(address, '#' || CAST(id AS VARCHAR))) AS cluster FROM f2), {_invariant_sql('v3', 'l3')},
+ sure AS (SELECT cluster, bool_or(id IN (SELECT a FROM ver WHERE linked AND NOT strong UNION SELECT b FROM ver WHERE linked AND NOT strong)) AS unsure FROM l1 GROUP BY 1),
+ done AS (SELECT l1.id, l1.cluster, CASE WHEN unsure THEN 'medium' ELSE 'high' END AS confidence, NULL AS split_reason FROM l1 JOIN v1 USING (cluster) JOIN sure USING (cluster) WHERE violations = ''
+  UNION ALL SELECT id, cluster, 'reduced', 'probable_edges_dropped' FROM l2 JOIN v2 USING (cluster) WHERE violations = '' UNION ALL SELECT id, cluster, 'reduced', 'address_split' FROM l3 JOIN v3 USING (cluster) WHERE violations = ''
+  UNION ALL SELECT id, id, 'reduced', 'atomised' FROM l3 JOIN v3 USING (cluster) WHERE violations <> '')
+ SELECT *, printf('EST-%011d', cluster) AS establishment_id FROM done""")
 def entity_clusters(spark, sf_dir):
     p = _places(spark, sf_dir)
-    return entity.clusters(p, entity.verdicts(_pairs(spark, sf_dir), p))
+    return entity.clusters(p, stored(entity.verdicts(_pairs(spark, sf_dir), p), "verdicts"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 3 <> 0), n AS (SELECT a AS x FROM e UNION SELECT b FROM e),
@@ -519,7 +594,7 @@ def ranker_scores(spark, sf_dir):
 def decided(spark, sf_dir, policies=POLICIES[2:3]):
     """Every cell under every policy: the policies are a literal of a few rows."""
     grid = F.explode(F.array(*(F.struct(F.lit(n).alias("policy_id"), F.lit(s).alias("share"), F.lit(f).alias("forced")) for n, s, f in policies)))
-    rows = policy.ranked(cells(spark, sf_dir), CELL).withColumn("k", F.lit(K)).withColumn("p", grid).select("*", "p.*").drop("p")
+    rows = stored(policy.ranked(cells(spark, sf_dir), CELL), "ranked-cells").withColumn("k", F.lit(K)).withColumn("p", grid).select("*", "p.*").drop("p")
     return policy.allocate(rows, ["policy_id", *CELL], F.col("share"), F.col("forced"))
 
 
@@ -623,7 +698,7 @@ def _calendar(spark, sf_dir):
 def _plan(spark, sf_dir):
     q = decided(spark, sf_dir).where("is_selected").select("fold_id", "id", "final_rank", "mechanism", "area")
     days = scheduling.horizon(_calendar(spark, sf_dir), CELL, K)
-    return days, scheduling.fill(q, days, CELL)
+    return days, stored(scheduling.fill(q, days, CELL), "plan")
 
 
 _HORIZON = f"""cal AS (SELECT fold_id, d AS slot_date, count(*) AS n_slots FROM cells GROUP BY ALL), med AS (SELECT fold_id, median(n_slots) AS m FROM cal GROUP BY 1),
@@ -890,3 +965,6 @@ def bootstrap_brier(spark, sf_dir):
 def approval_checks(spark, sf_dir):
     plan = _plan(spark, sf_dir)[1].withColumns({"decision": F.when(F.col("id") % 6 == 0, "accept"), "reason": F.when(F.col("id") % 12 == 0, "local_knowledge")})
     return uncertainty.approval_checks(plan, CELL)
+
+
+from . import operations  # noqa: E402, F401  (its queries register themselves)
