@@ -41,15 +41,15 @@ def licence_key(c: Column) -> Column:
 
 
 def units(c: Column) -> Column:
-    """The distinct unit values of an address, sorted and joined by ``|``."""
-    found = F.regexp_extract_all(F.upper(c), F.lit(rf"\b(?:{'|'.join(UNIT_MARKERS)})\.? *#? *([A-Z0-9]+)"), F.lit(1))
-    return F.array_join(F.array_sort(F.array_distinct(found)), "|")
+    """The distinct unit values of an address, sorted and joined by a space."""
+    found = F.regexp_extract_all(F.upper(c), F.lit(rf"\b(?:{'|'.join(UNIT_MARKERS)})\b\.?\s*([A-Z0-9][A-Z0-9\-]*)"), F.lit(1))
+    return F.array_join(F.array_sort(F.array_distinct(found)), " ")
 
 
 def address_key(address: Column, zip_: Column) -> Column:
     """``house|street|zip`` with unit, suffix and ordinal endings left out."""
     s = F.upper(F.trim(address))
-    s = F.regexp_replace(s, rf" (?:{'|'.join(UNIT_MARKERS)})\.? *#? *[A-Z0-9]+", "")
+    s = F.regexp_replace(s, rf" (?:{'|'.join(UNIT_MARKERS)})\b\.?\s*(?:[A-Z0-9][A-Z0-9\-]*)?", "")
     s = F.regexp_replace(s, r"\b([0-9]+)(?:ST|ND|RD|TH)\b", "$1")
     house = F.regexp_extract(s, r"^([0-9]+)", 1)
     street = F.regexp_replace(F.regexp_replace(s, r"^[0-9]+(?:-[0-9]+)?(?: 1/2)? *", ""), rf" (?:{'|'.join(SUFFIXES)})\.?$", "")

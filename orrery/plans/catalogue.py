@@ -115,7 +115,7 @@ def q_top_facilities(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_type").limit(20)
 
 
-@query()
+@query("SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END AS column_type FROM (DESCRIBE orders)")
 def q_schema(spark, sf_dir):
     return spark.createDataFrame(table(spark, sf_dir, "orders").dtypes, "column_name string, column_type string")
 
@@ -143,7 +143,7 @@ _UNITS = "SUITE|STE|APARTMENT|APT|UNIT|ROOM|RM|FLOOR|FL|BUILDING|BLDG|BASEMENT|B
 @query(rf"""WITH a AS (SELECT id, zip, lic, lat, lon, addr, trim(regexp_replace(regexp_replace(replace(regexp_replace(upper(strip_accents(nm)), '''S\b', 'S', 'g'), '&', ' AND '), '[^A-Z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS s FROM {_RAW}),
  b AS (SELECT *, regexp_replace(regexp_replace(s, '( ({_LEGAL}))+$', ''), '^(THE )+', '') AS c, substr(regexp_replace(zip, '[^0-9]', '', 'g'), 1, 5) AS z FROM a)
  SELECT id, CASE WHEN c = '' THEN s ELSE c END AS name_key, CASE WHEN length(z) = 5 AND z <> '00000' THEN z END AS zip_key, nullif(nullif(trim(lic), ''), '0') AS licence_key,
-  list_aggregate(list_sort(list_distinct(regexp_extract_all(upper(addr), '\b(?:{_UNITS})\.? *#? *([A-Z0-9]+)', 1))), 'string_agg', '|') AS units0,
+  list_aggregate(list_sort(list_distinct(regexp_extract_all(upper(addr), '\b(?:{_UNITS})\b\.?\s*([A-Z0-9][A-Z0-9\-]*)', 1))), 'string_agg', ' ') AS units0,
   CASE WHEN lat IS NULL OR lon IS NULL THEN 'missing' WHEN TRY_CAST(lat AS DOUBLE) IS NULL OR TRY_CAST(lon AS DOUBLE) IS NULL THEN 'unreadable' WHEN NOT (TRY_CAST(lat AS DOUBLE) BETWEEN 41.6 AND 42.1 AND TRY_CAST(lon AS DOUBLE) BETWEEN -87.95 AND -87.5) THEN 'outside' ELSE lat || ',' || lon END AS geo_key FROM b""")
 def name_keys(spark, sf_dir):
     return _raw(spark).select("id", text.name_key(F.col("nm")).alias("name_key"), text.zip_key(F.col("zip")).alias("zip_key"), text.licence_key(F.col("lic")).alias("licence_key"), F.nullif(text.units(F.col("addr")), F.lit("")).alias("units0"), text.geo_key(F.col("lat"), F.col("lon")).alias("geo_key"))
@@ -784,40 +784,88 @@ def overrides(spark, sf_dir):
 # --- models and calibration -----------------------------------------------------------
 
 
-def _xy(spark, sf_dir):
+def _calibration(spark, sf_dir):
+    """The rows of every fold's calibration quarter."""
+    f = F.broadcast(fold_table_of(spark).select("fold_id", "calibration_start", "calibration_end"))
+    i = inspections(spark, sf_dir).select(F.col("inspection_id").alias("id"), "d", "score", "label")
+    return i.join(f, F.col("d").between(F.col("calibration_start"), F.col("calibration_end"))).select("fold_id", "id", "d", "score", "label")
+
+
+def _test(spark, sf_dir):
+    return cells(spark, sf_dir).select("fold_id", "id", "d", "score", "label")
+
+
+def _xy(spark, sf_dir, folds=None):
+    """Features and label of every row in every fold that uses it, with its split."""
     f = asof.features(targets(spark, sf_dir), inspections(spark, sf_dir), ERA)
-    i = inspections(spark, sf_dir).select(F.col("inspection_id").alias("target_id"), "label")
-    return f.join(i, "target_id").withColumnRenamed("target_id", "id")
+    i = inspections(spark, sf_dir).select(F.col("inspection_id").alias("target_id"), "d", "label")
+    rows = stored(f.join(i, "target_id").withColumnRenamed("target_id", "id"), "model-rows")
+    return numbers.split_of(rows, folds if folds is not None else fold_table_of(spark)).where("split <> 'calibration'")
 
 
 _COLUMNS = ["prior_canvass_count", "days_since_last_canvass", "prior_canvass_priority_rate", "prior_complaint_count", "days_since_first_inspection"]
+_FAMILIES = {"canvass": "days_since_last_canvass", "code_era": "prior_canvass_priority_rate", "history": "days_since_first_inspection"}
+_BOOLEANS = ["fail_at_last_canvass", "name_changed_since_last_canvass"]
 
 
 @query()
 def logistic_scores(spark, sf_dir):
-    return calibrate.logistic(_xy(spark, sf_dir), _COLUMNS)
+    """Every fold's test rows, scored by a model of its training rows."""
+    return calibrate.logistic(_xy(spark, sf_dir), "fold_id", _COLUMNS, _FAMILIES, _BOOLEANS)
 
 
 @query()
 def boosted_scores(spark, sf_dir):
-    return calibrate.boosted(_xy(spark, sf_dir), _COLUMNS)
+    """The last fold's test rows, scored by trees fitted on its training rows."""
+    last = fold_table_of(spark).orderBy(F.desc("fold_id")).limit(1)
+    return calibrate.boosted(_xy(spark, sf_dir, last), "fold_id", _COLUMNS, _FAMILIES, _BOOLEANS)
 
 
-@query()
+_CAL = f"""cal AS MATERIALIZED (SELECT f.fold_id, inspection_id AS id, score, label FROM insp JOIN folds f ON d BETWEEN f.calibration_start AND f.calibration_end)"""
+_NEWTON_CAL = "m0 AS (SELECT DISTINCT fold_id, 0::DOUBLE AS i, 0::DOUBLE AS s FROM cal), zc AS MATERIALIZED (SELECT fold_id, label::DOUBLE AS y, ln(q / (1 - q)) AS z FROM (SELECT fold_id, label, least(greatest(score, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS q FROM cal))" + "".join(
+    f""", mc{k} AS (SELECT zc.fold_id, i, s, z, y, 1 / (1 + exp(-(i + s * z))) AS p FROM zc JOIN m{k} USING (fold_id)),
+ mt{k} AS (SELECT fold_id, any_value(i) AS i, any_value(s) AS s, sum(p * (1 - p)) AS a, sum(p * (1 - p) * z) AS b, sum(p * (1 - p) * z * z) AS c, sum(y - p) AS g, sum((y - p) * z) AS h FROM mc{k} GROUP BY 1),
+ m{k + 1} AS MATERIALIZED (SELECT fold_id, i + (c * g - b * h) / (a * c - b * b) AS i, s + (a * h - b * g) / (a * c - b * b) AS s FROM mt{k})"""
+    for k in range(9)
+)
+_PLATT = f"""{_CAL}, {_NEWTON_CAL}, pla AS MATERIALIZED (SELECT c.fold_id, id, label, score, 1 / (1 + exp(-(i + s * ln(q / (1 - q))))) AS calibrated FROM (SELECT *, least(greatest(score, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS q FROM cells) c JOIN m9 USING (fold_id))"""
+# The monotone fit at a point is the largest over starts of the smallest over ends of the mean between.
+_ISO = f"""{_CAL}, pt AS MATERIALIZED (SELECT fold_id, score AS x, avg(label) AS y, count(*) AS w, sum(label) AS sy, row_number() OVER (PARTITION BY fold_id ORDER BY score) AS i FROM cal GROUP BY fold_id, score),
+ pf AS MATERIALIZED (SELECT *, sum(w) OVER v AS cw, sum(sy) OVER v AS cy FROM pt WINDOW v AS (PARTITION BY fold_id ORDER BY i)),
+ seg AS (SELECT a.fold_id, a.i AS s, b.i AS e, (b.cy - a.cy + a.sy) / (b.cw - a.cw + a.w) AS m FROM pf a JOIN pf b ON a.fold_id = b.fold_id AND a.i <= b.i), low AS MATERIALIZED (SELECT fold_id, s, e AS at, min(m) OVER (PARTITION BY fold_id, s ORDER BY e DESC) AS v FROM seg),
+ fit AS MATERIALIZED (SELECT low.fold_id, x, max(v) AS y FROM low JOIN pf ON pf.fold_id = low.fold_id AND pf.i = low.at GROUP BY low.fold_id, x),
+ iso AS MATERIALIZED (SELECT c.fold_id, c.id, c.label, c.score, CASE WHEN lo.x IS NULL THEN hi.y WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.y ELSE lo.y + (hi.y - lo.y) * (c.score - lo.x) / (hi.x - lo.x) END AS calibrated
+   FROM cells c ASOF LEFT JOIN fit lo ON c.fold_id = lo.fold_id AND c.score >= lo.x ASOF LEFT JOIN fit hi ON c.fold_id = hi.fold_id AND c.score <= hi.x)"""
+
+
+@query(f"WITH {_CELLS}, {_PLATT} SELECT fold_id, id, label, round(calibrated, 6) AS calibrated FROM pla")
 def platt(spark, sf_dir):
-    return calibrate.platt(cells(spark, sf_dir))
+    """Test rows under Platt's calibration, fitted on the calibration quarter of their fold."""
+    out = calibrate.platt(_calibration(spark, sf_dir), _test(spark, sf_dir), "fold_id")
+    return out.select("fold_id", "id", "label", F.round("calibrated", 6).alias("calibrated"))
 
 
-@query()
+@query(f"WITH {_CELLS}, {_ISO} SELECT fold_id, id, label, round(calibrated, 6) AS calibrated FROM iso")
 def isotonic(spark, sf_dir):
-    return calibrate.isotonic(cells(spark, sf_dir))
+    """Test rows under monotone calibration, fitted on the calibration quarter of their fold."""
+    out = calibrate.isotonic(_calibration(spark, sf_dir), _test(spark, sf_dir), "fold_id")
+    return out.select("fold_id", "id", "label", F.round("calibrated", 6).alias("calibrated"))
+
+
+def _loss_sql(table: str) -> str:
+    q = "least(greatest(calibrated, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE)"
+    return f"SELECT fold_id, avg(-(label * ln({q}) + (1 - label) * ln(1 - {q}))) AS loss FROM {table} GROUP BY 1"
 
 
-@query(f"""WITH {_CELLS}, l AS (SELECT fold_id, avg(pow(score - label, 2)) AS a, avg(abs(score - label)) AS b FROM cells GROUP BY 1), m AS (SELECT fold_id, avg(a) OVER w AS ma, avg(b) OVER w AS mb FROM l WINDOW w AS (ORDER BY fold_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
- SELECT fold_id, CASE WHEN mb - ma > 0.005 THEN 'isotonic' ELSE 'platt' END AS method FROM m""")
+@query(f"""WITH {_CELLS}, {_PLATT}, {_ISO.replace(_CAL + ", ", "")}, l AS (SELECT p.fold_id, p.loss AS a, i.loss AS b FROM ({_loss_sql("pla")}) p JOIN ({_loss_sql("iso")}) i USING (fold_id)),
+ m AS (SELECT fold_id, avg(a) OVER w AS mp, avg(b) OVER w AS mi FROM l WINDOW w AS (ORDER BY fold_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT fold_id, CASE WHEN mp - mi > 0.005 THEN 'isotonic' ELSE 'platt' END AS method FROM m""")
 def calib_select(spark, sf_dir):
-    l = cells(spark, sf_dir).groupBy("fold_id").agg(F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2))).alias("isotonic_loss"), F.avg(F.abs(F.col("score") - F.col("label"))).alias("platt_loss"))
-    return calibrate.method_choice(l)
+    """The method of every fold, by the log losses of both calibrators on earlier test quarters."""
+    cal, test = stored(_calibration(spark, sf_dir), "calibration"), stored(_test(spark, sf_dir), "test")
+    a = calibrate.log_loss(calibrate.platt(cal, test, "fold_id"), "fold_id", "calibrated", "platt_loss")
+    b = calibrate.log_loss(calibrate.isotonic(cal, test, "fold_id"), "fold_id", "calibrated", "isotonic_loss")
+    return calibrate.method_choice(a.join(b, "fold_id"))
 
 
 @query(f"""WITH {_CELLS}, r AS (SELECT fold_id, rank() OVER (PARTITION BY fold_id ORDER BY score) + (count(*) OVER (PARTITION BY fold_id, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY fold_id ORDER BY area) + (count(*) OVER (PARTITION BY fold_id, area) - 1) / 2.0 AS b FROM cells) SELECT fold_id, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1""")

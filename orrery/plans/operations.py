@@ -221,11 +221,10 @@ def backlog_projection(spark, sf_dir):
 def schedule_adjustments(spark, sf_dir):
     """Supervisors' adjustments applied to every plan in id order (see ``governance.adjust``)."""
     days, plan = _plan(spark, sf_dir)
-    queue = plan.join(decided(spark, sf_dir).select("fold_id", "id", "mechanism"), ["fold_id", "id"])
     ends = days.groupBy("fold_id").agg(F.min("slot_date").alias("first"), F.max("slot_date").alias("last"))
     a = plan.where("id % 9 = 0").join(ends, "fold_id").select("fold_id", F.concat(F.lit("AD-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("adjustment_id"), "id",
         F.when(F.col("id") % 27 == 0, "cancel").when(F.col("id") % 2 == 0, "defer_to_date").otherwise("advance_to_date").alias("action"), F.when(F.col("id") % 2 == 0, F.col("last")).otherwise(F.col("first")).alias("target_date"))
-    return governance.adjust(queue, days, a, CELL)
+    return governance.adjust(plan, days, stored(a, "adjustments"), CELL)
 
 
 @query(f"""WITH {_CELLS}, {_PLAN}, v AS (SELECT fold_id, id, unnest([0, 1, 2]) AS replan_index, unnest(['original', 'adjusted', 'replanned']) AS version, status FROM plan WHERE id % 3 <> 1 UNION ALL SELECT fold_id, id, 0, 'original', status FROM plan WHERE id % 3 = 1)

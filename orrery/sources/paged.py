@@ -1,7 +1,9 @@
 """A paged HTTP source as a Spark data source: one input partition a page.
 
-``options``: url, pages, limit, order, select, schema.  The order column is mandatory, so pages
-do not overlap.  A page is fetched again on 429, 5xx and transport errors, waiting
+``options``: url, limit, order, select, and optionally pages and schema.  The order column is
+mandatory, so pages do not overlap.  Without ``pages`` the number of rows is asked for first, and
+without ``schema`` the fields of the first page are the columns, all strings.  The page after the
+last must be empty and all before it full, else the read fails: no row is left out in silence.  A page is fetched again on 429, 5xx and transport errors, waiting
 ``backoff * 2 ** (n - 1)`` seconds; other 4xx answers fail at once.
 """
 
@@ -16,6 +18,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .tables import fields
+
 
 def page_params(limit: int, offset: int, order: str, select: str = "") -> dict[str, str]:
     """Query parameters of one page."""
@@ -42,13 +46,28 @@ def fetch(url: str, retries: int = 4, backoff: float = 1.0, get: Callable | None
     raise AssertionError("unreachable")
 
 
+def page(options: dict, number: int) -> list[dict]:
+    """The records of one page."""
+    limit = int(options["limit"])
+    params = page_params(limit, number * limit, options["order"], options.get("select", ""))
+    return json.loads(fetch(f"{options['url']}?{urllib.parse.urlencode(params)}"))
+
+
+def row_count(options: dict) -> int:
+    """The number of rows, asked of the source."""
+    (row,) = json.loads(fetch(f"{options['url']}?{urllib.parse.urlencode({'$select': 'count(*) as n'})}"))
+    return int(row["n"])
+
+
 class PagedSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "orrery_pages"
 
     def schema(self) -> str:
-        return self.options["schema"]
+        if "schema" in self.options:
+            return self.options["schema"]
+        return ", ".join(f"`{c}` string" for c in fields(page(self.options, 0)))
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options, schema)
@@ -59,11 +78,18 @@ class _Reader(DataSourceReader):
         self.options, self.columns = dict(options), schema.names
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(int(self.options["pages"]))]
+        """One partition a page, and one more that must find nothing."""
+        limit = int(self.options["limit"])
+        pages = int(self.options["pages"]) if "pages" in self.options else -(-row_count(self.options) // limit)
+        return [InputPartition((i, pages)) for i in range(pages + 1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        limit = int(self.options["limit"])
-        params = page_params(limit, partition.value * limit, self.options["order"], self.options.get("select", ""))
-        for record in json.loads(fetch(f"{self.options['url']}?{urllib.parse.urlencode(params)}")):
+        number, pages = partition.value
+        records = page(self.options, number)
+        if number == pages and records:
+            raise RuntimeError(f"rows after page {pages}")
+        if number < pages - 1 and len(records) < int(self.options["limit"]):
+            raise RuntimeError(f"page {number} of {pages} is short")
+        for record in records:
             values = (record.get(c) for c in self.columns)
             yield tuple(v if v is None or isinstance(v, str) else json.dumps(v, sort_keys=True, separators=(",", ":")) for v in values)

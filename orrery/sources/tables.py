@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,9 +96,31 @@ def latest(spark: SparkSession, folder: str, prefix: str) -> str | None:
 
 
 def manifest(df: DataFrame) -> str:
-    """Row count, schema and an order-free checksum of a table, as JSON."""
-    n, total = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
-    return json.dumps({"row_count": n, "checksum": str(total or 0), "schema": dict(df.dtypes)}, sort_keys=True)
+    """Row count, schema and content digest of a table, as JSON.
+
+    The digest is SHA-256 over a sum, free of order, of every row's SHA-256: 16 bits of it at a
+    time, so the sums are exact; a map-side combined aggregate gives them.
+    """
+    row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    parts = [F.sum(F.conv(F.substring("_h", 4 * i + 1, 4), 16, 10).cast("long")).alias(f"s{i}") for i in range(16)]
+    got = df.select(row.alias("_h")).agg(F.count("*").alias("n"), *parts).first()
+    digest = hashlib.sha256(",".join(str(got[f"s{i}"] or 0) for i in range(16)).encode()).hexdigest()
+    return json.dumps({"row_count": got["n"], "sha256": digest, "schema": dict(df.dtypes)}, sort_keys=True)
+
+
+def write_manifest(df: DataFrame, path: str) -> str:
+    """Write a table's manifest beside it (``path`` + ``.manifest``) and return it."""
+    text = manifest(df)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path + ".manifest")
+    return text
+
+
+def fields(records: list[dict]) -> list[str]:
+    """All field names of raw records, in order of first sight: a record may lack some."""
+    seen: dict[str, None] = {}
+    for r in records:
+        seen.update(dict.fromkeys(r))
+    return list(seen)
 
 
 def write_table(df: DataFrame, path: str, keys: list[str]) -> None:
