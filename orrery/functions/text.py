@@ -47,12 +47,16 @@ def units(c: Column) -> Column:
 
 
 def address_key(address: Column, zip_: Column) -> Column:
-    """``house|street|zip`` with unit, suffix and ordinal endings left out."""
-    s = F.upper(F.trim(address))
-    s = F.regexp_replace(s, rf" (?:{'|'.join(UNIT_MARKERS)})\b\.?\s*(?:[A-Z0-9][A-Z0-9\-]*)?", "")
-    s = F.regexp_replace(s, r"\b([0-9]+)(?:ST|ND|RD|TH)\b", "$1")
-    house = F.regexp_extract(s, r"^([0-9]+)", 1)
-    street = F.regexp_replace(F.regexp_replace(s, r"^[0-9]+(?:-[0-9]+)?(?: 1/2)? *", ""), rf" (?:{'|'.join(SUFFIXES)})\.?$", "")
+    """``house|street|zip`` with unit, suffix and ordinal endings left out; null without a house.
+
+    Ranges and fractions of a house number go; a leading direction is one letter.
+    """
+    s = collapsed(F.translate(address, FOLDED_FROM, FOLDED_TO))
+    s = F.trim(F.regexp_replace(s, rf" (?:{'|'.join(UNIT_MARKERS)})\b\.?\s*(?:[A-Z0-9][A-Z0-9\-]*)?", ""))
+    house = F.regexp_extract(s, r"^([0-9]+)(?:-[0-9]+)?(?: 1/2)? ", 1)
+    street = F.regexp_replace(s, r"^[0-9]+(?:-[0-9]+)?(?: 1/2)? +", "")
+    street = F.regexp_replace(street, r"^(N|S|E|W)(?:ORTH|OUTH|AST|EST)?\.? ", "$1 ")
+    street = F.regexp_replace(F.regexp_replace(street, r"\b([0-9]+)(?:ST|ND|RD|TH)\b", "$1"), rf" (?:{'|'.join(SUFFIXES)})\.?$", "")
     return F.when(house != "", F.concat_ws("|", house, F.trim(street), F.coalesce(zip_key(zip_), F.lit(""))))
 
 
