@@ -154,7 +154,7 @@ _SUFF = "ST|STREET|AVE|AVENUE|BLVD|BOULEVARD|RD|ROAD|DR|DRIVE|PL|PLACE|CT|COURT|
 
 @query(rf"""WITH a AS (SELECT id, substr(regexp_replace(zip, '[^0-9]', '', 'g'), 1, 5) AS z, trim(regexp_replace(trim(regexp_replace(upper(addr), '\s+', ' ', 'g')), ' (?:{_UNITS})\b\.?\s*(?:[A-Z0-9][A-Z0-9\-]*)?', '', 'g')) AS s FROM {_RAW}),
  b AS (SELECT *, regexp_extract(s, '^([0-9]+)(?:-[0-9]+)?(?: 1/2)? ', 1) AS house, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^[0-9]+(?:-[0-9]+)?(?: 1/2)? +', ''), '^(N|S|E|W)(?:ORTH|OUTH|AST|EST)?\.? ', '\1 '), '\b([0-9]+)(?:ST|ND|RD|TH)\b', '\1', 'g'), ' (?:{_SUFF})\.?$', '') AS street FROM a)
- SELECT id, CASE WHEN house <> '' THEN house || '|' || trim(street) || '|' || CASE WHEN length(z) = 5 AND z <> '00000' THEN z ELSE '' END END AS address_key FROM b""".replace("\\", "\"))
+ SELECT id, CASE WHEN house <> '' THEN house || '|' || trim(street) || '|' || CASE WHEN length(z) = 5 AND z <> '00000' THEN z ELSE '' END END AS address_key FROM b""")
 def address_parts(spark, sf_dir):
     return _raw(spark).select("id", text.address_key(F.col("addr"), F.col("zip")).alias("address_key"))
 
