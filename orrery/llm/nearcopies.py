@@ -37,6 +37,8 @@ RADIUS, SMALL_RADIUS, SMALL = 58, 74, 32
 TILE_ROWS = 16_384
 #: Members of one candidate component that a task holds at a time.
 HELD = 512
+#: Members that stream past them in one task.
+STREAMED = 1024
 SEED = 42
 
 
@@ -129,14 +131,14 @@ class _Held:
 
 def _across(members: DataFrame) -> DataFrame:
     """Links between parts inside ``bucket``; members ``outside`` its largest part are held,
-    ``HELD`` at a time by a hash, and all members stream past each lot."""
+    ``HELD`` at a time by a hash, and all members stream past each lot, ``STREAMED`` in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, held, out = None, [], None, []
         for batch in batches:
-            for bucket, lot, role, node, part, s in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lot", "role", "node", "part", "s"))):
-                if (bucket, lot) != at:
-                    at, rows, held = (bucket, lot), [], None
+            for bucket, lot, share, role, node, part, s in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lot", "share", "role", "node", "part", "s"))):
+                if (bucket, lot, share) != at:
+                    at, rows, held = (bucket, lot, share), [], None
                 own = np.frombuffer(s, np.uint64)
                 if role == 0:
                     rows.append((node, part, own))
@@ -148,9 +150,12 @@ def _across(members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["src", "dst"])
                 out = []
 
-    held = members.where("outside").withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots"))).withColumn("role", F.lit(0))
-    past = members.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).withColumn("role", F.lit(1))
-    dealt = held.unionByName(past).select("bucket", "lot", "role", "node", "part", "s").repartition("bucket", "lot").sortWithinPartitions("bucket", "lot", "role", "node")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n))
+    held = members.where("outside").withColumn("lot", one("lots")).withColumn("share", every("shares")).withColumn("role", F.lit(0))
+    past = members.withColumn("share", one("shares")).withColumn("lot", every("lots")).withColumn("role", F.lit(1))
+    unit = ["bucket", "lot", "share"]
+    dealt = held.unionByName(past.select(held.columns)).select(*unit, "role", "node", "part", "s").repartition(*unit).sortWithinPartitions(*unit, "role", "node")
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
@@ -183,8 +188,8 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     members = stored(members.join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part")), "members")
     count = members.groupBy("bucket", "part").count()
     mixed_up = count.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("major"), F.count("*").alias("k"), F.sum("count").alias("all"), F.max("count").alias("most")).where("k > 1")
-    lots = F.ceil((F.col("all") - F.col("most")) / HELD).alias("lots")
-    open_ = members.join(mixed_up.select("bucket", "major", lots), "bucket").select("bucket", "lots", "node", "part", (F.col("part") != F.col("major")).alias("outside"))
+    lots, shares = F.ceil((F.col("all") - F.col("most")) / HELD).alias("lots"), F.ceil(F.col("all") / STREAMED).alias("shares")
+    open_ = members.join(mixed_up.select("bucket", "major", lots, shares), "bucket").select("bucket", "lots", "shares", "node", "part", (F.col("part") != F.col("major")).alias("outside"))
     more = _across(open_.join(sets, "node"))
     labels = connected_components(links.unionByName(more))
     named = nodes.join(labels, F.col("least") == F.col("node"), "left").select("digest", F.coalesce("label", "least").alias("component_id"))

@@ -56,3 +56,21 @@ def test_pairs_around_the_threshold_and_chains(spark):
     got = sorted(r.doc_id for r in queries.keep_distinct(spark, df, SF).collect())
     assert got == brute_kept(list(enumerate(texts)))
     assert queries.keep_distinct(spark, df.limit(0), SF).count() == 0
+
+
+def test_lots_and_shares_lose_no_link(spark, monkeypatch):
+    """A family of texts around one passage, held and streamed a few at a time."""
+    from orrery.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "HELD", 3)
+    monkeypatch.setattr(nearcopies, "STREAMED", 5)
+    rng = np.random.default_rng(17)
+    shared = [f"c{x}" for x in range(70)]
+    texts = []
+    for i in range(30):
+        own = shared + [f"t{i}x{x}" for x in range(14)]
+        texts.append(" ".join(own))
+        if i % 3 == 0:
+            texts.append(" ".join(own[:-1] + [f"y{int(rng.integers(0, 9))}"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in queries.keep_distinct(spark, df, SF).collect()) == brute_kept(list(enumerate(texts)))
