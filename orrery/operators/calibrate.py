@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import interpolate, logit, sigmoid
 from ..shared import stored
+from .ranking import pr_auc
 from .running import score_run
 
 #: Clamp of the probabilities that are calibrated.
@@ -174,13 +175,44 @@ def logistic(rows: DataFrame, cell: str, columns: list[str], families: dict[str,
     return test.select(cell, "id", "label", sigmoid(sum((F.col(f"_b_{u}") * F.col(u) for u in used), F.col("_i"))).alias("score"))
 
 
+def boosted_model(train: DataFrame, used: list[str], rounds: int = 10):
+    """Gradient-boosted trees of Spark's own, both labels weighted so that they count the same."""
+    n, p = train.agg(F.count("*"), F.sum("label")).first()
+    weighted = train.withColumn("_w", F.when(F.col("label") == 1, n / (2.0 * max(p or 0, 1))).otherwise(n / (2.0 * max(n - (p or 0), 1))))
+    data = VectorAssembler(inputCols=used, outputCol="_x").transform(weighted)
+    return GBTClassifier(featuresCol="_x", labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=3, seed=1).fit(data)
+
+
 def boosted(rows: DataFrame, cell: str, columns: list[str], families: dict[str, str], flags: list[str], rounds: int = 10) -> DataFrame:
     """``cell, id, label, score`` of the test rows of one cell: gradient-boosted trees fitted on its
     training rows, weighted so that both labels count the same; the algorithm is Spark's own."""
     data, used = preprocessed(rows, cell, columns, families, flags)
-    data = VectorAssembler(inputCols=used, outputCol="_x").transform(data.select(cell, "id", "label", "split", *used))
-    train = data.where("split = 'train'")
-    n, p = train.agg(F.count("*"), F.sum("label")).first()
-    train = train.withColumn("_w", F.when(F.col("label") == 1, n / (2.0 * max(p or 0, 1))).otherwise(n / (2.0 * max(n - (p or 0), 1))))
-    model = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="_w", maxIter=rounds, maxDepth=3, seed=1).fit(train)
-    return model.transform(data.where("split = 'test'")).withColumn("score", vector_to_array("probability")[1]).select(cell, "id", "label", "score")
+    data = data.select(cell, "id", "label", "split", *used)
+    model = boosted_model(data.where("split = 'train'"), used, rounds)
+    test = VectorAssembler(inputCols=used, outputCol="_x").transform(data.where("split = 'test'"))
+    return model.transform(test).withColumn("score", vector_to_array("probability")[1]).select(cell, "id", "label", "score")
+
+
+#: Mean scores this near count as equal.
+TIED = 1e-6
+
+
+def choose_rate(scores: DataFrame, baseline: float) -> DataFrame:
+    """``rate, mean_score, n_tied`` of the best rate of ``scores`` (rate, fold, score).
+
+    Rates whose mean is within ``TIED`` of the best are equal; the one nearest to the baseline wins,
+    then the smaller one.  Rates are a grid of a few.
+    """
+    m = scores.groupBy("rate").agg(F.avg("score").alias("mean_score")).withColumn("_best", F.max("mean_score").over(Window.partitionBy(F.lit(0))))
+    tied = m.where(F.col("_best") - F.col("mean_score") <= TIED).withColumn("_off", F.abs(F.col("rate") - baseline))
+    return tied.agg(F.min_by(F.struct("rate", "mean_score"), F.struct("_off", "rate")).alias("r"), F.count("*").alias("n_tied")).where("r is not null").select("r.*", "n_tied")
+
+
+def penalty_sweep(rows: DataFrame, columns: list[str], families: dict[str, str], flags: list[str], grid: list[float]) -> DataFrame:
+    """``rate, fold_id, score``: PR-AUC on each inner fold's held-out rows of a logistic model of
+    every strength of the grid.  ``rows`` carry fold_id and split, train or test, of inner folds."""
+    out = None
+    for rate in grid:
+        s = pr_auc(logistic(rows, "fold_id", columns, families, flags, rate), ["fold_id"]).select(F.lit(rate).alias("rate"), "fold_id", F.col("pr_auc").alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return out

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
 
 EARTH_KM = 6371.0
+#: Places of a tile whose distances are taken together.
+TILE = 512
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
@@ -42,3 +48,39 @@ def groups(places: DataFrame, km: float) -> DataFrame:
     out = own.join(named, "root").select("id", "area", "n_members", "c_lat", "c_lon")
     lost = places.where("lat is null or lon is null").select("id", F.lit("unmapped").alias("area"), F.lit(None).cast("long").alias("n_members"), F.lit(None).cast("double").alias("c_lat"), F.lit(None).cast("double").alias("c_lon"))
     return out.unionByName(lost)
+
+
+def group_spans(members: DataFrame, group: str) -> DataFrame:
+    """``group, n, max_km, avg_km``: the largest and the mean distance over all pairs of a group.
+
+    ``members``: group, lat, lon, none null.  Equal coordinates are one point with a weight, points
+    are dealt into tiles of about ``TILE``, and pairs of tiles are measured as matrices: no pair of
+    places is a row.  The work is still the square of a group's distinct points, as a mean over
+    pairs of great circles has no shorter form.  One place alone has 0 and 0.
+    """
+    kind = dict(members.dtypes)[group]
+    points = members.groupBy(group, "lat", "lon").agg(F.count("*").alias("w"))
+    size = points.groupBy(group).agg(F.count("*").alias("_p"), F.sum("w").alias("n")).withColumn("_tiles", F.ceil(F.col("_p") / TILE).cast("long"))
+    dealt = points.join(size, group).withColumn("_t", F.pmod(F.xxhash64("lat", "lon"), F.col("_tiles")))
+    tiles = dealt.groupBy(group, "_t", "_tiles").agg(F.collect_list(F.struct("lat", "lon", "w")).alias("own"))
+    left = tiles.withColumn("_u", F.explode(F.expr("sequence(_t, _tiles - 1)"))).select(group, "_t", "_u", "own")
+    right = tiles.select(group, F.col("_t").alias("_u"), F.col("own").alias("other"))
+    met = left.join(right, [group, "_u"])
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpacked = lambda rows: np.array([(r["lat"], r["lon"], r["w"]) for r in rows], dtype=float).T
+        for pdf in batches:
+            out = []
+            for g, t, u, a, b in zip(pdf[group], pdf["_t"], pdf["_u"], pdf["own"], pdf["other"]):
+                (lat1, lon1, w1), (lat2, lon2, w2) = unpacked(a), unpacked(b)
+                la1, la2 = np.radians(lat1)[:, None], np.radians(lat2)[None, :]
+                h = np.sin((la2 - la1) / 2) ** 2 + np.cos(la1) * np.cos(la2) * np.sin((np.radians(lon2)[None, :] - np.radians(lon1)[:, None]) / 2) ** 2
+                km = 2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+                total = float(w1 @ km @ w2)
+                out.append((g, float(km.max()), total / 2 if t == u else total))
+            yield pd.DataFrame(out, columns=[group, "km", "total"])
+
+    spans = met.mapInPandas(measure, f"{group} {kind}, km double, total double").groupBy(group).agg(F.max("km").alias("max_km"), F.sum("total").alias("_total"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    alone = F.col("n") < 2
+    return size.join(spans, group).select(group, "n", F.when(alone, 0.0).otherwise(F.col("max_km")).alias("max_km"), F.when(alone, 0.0).otherwise(F.col("_total") / pairs).alias("avg_km"))

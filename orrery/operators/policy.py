@@ -78,3 +78,19 @@ def frontier(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     before = F.max(y).over(Window.partitionBy(F.lit(0)).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
     kept = best_y.withColumn("_b", before).where(F.col("_b").isNull() | (F.col(y) > F.col("_b"))).drop("_b")
     return points.join(kept, [x, y], "left_semi").select(key, x, y)
+
+
+def dominance(points: DataFrame, cell: list[str], key: str, axes: list[str]) -> DataFrame:
+    """``points`` with ``is_dominated``, ``dominated_by`` (comma-joined keys) and ``winner``.
+
+    A point is dominated by one of its cell that is no worse on any axis and better on one.  The
+    winner is the one point of a cell that is left, null if there are several.  Points are the
+    policies of a grid, a few a cell, whatever the rows behind them.
+    """
+    a, b = points.alias("a"), points.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cell] + [F.col(f"b.{x}") >= F.col(f"a.{x}") for x in axes]
+    on.append(F.greatest(*(F.col(f"b.{x}") - F.col(f"a.{x}") for x in axes)) > 0)
+    beaten = a.join(b, on).groupBy(*(F.col(f"a.{c}").alias(c) for c in [*cell, key])).agg(F.array_join(F.array_sort(F.collect_list(f"b.{key}")), ", ").alias("dominated_by"))
+    out = points.join(beaten, [*cell, key], "left").withColumn("is_dominated", F.col("dominated_by").isNotNull()).withColumn("dominated_by", F.coalesce("dominated_by", F.lit("")))
+    left = out.where(~F.col("is_dominated")).groupBy(*cell).agg(F.count("*").alias("_n"), F.min(key).alias("_only"))
+    return out.join(left.select(*cell, F.when(F.col("_n") == 1, F.col("_only")).alias("winner")), cell, "left")

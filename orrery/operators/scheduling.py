@@ -64,6 +64,26 @@ def preservation(plan: DataFrame, cell: list[str]) -> DataFrame:
     return p.groupBy(*cell).agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"), F.count_if(F.col("depth") > 0).alias("n_inverted"), F.corr("pos", "final_rank").alias("spearman"))
 
 
+def service(plan: DataFrame, queue: DataFrame, cell: list[str]) -> DataFrame:
+    """What a plan does to a queue: waits in operating days, how far the queue got, and the reserve's
+    share before and after; a cell without placed rows has null waits.
+
+    ``queue``: cell, id, mechanism of every selected row; ``plan`` lays it out.
+    """
+    q = queue.select(*cell, "id", "mechanism").join(plan.select(*cell, "id", "final_rank", "day_index", "status"), [*cell, "id"], "left")
+    placed, late = F.col("status") == "scheduled", F.col("status") == "backlog"
+    reserve = F.col("mechanism") == "coverage_reserve"
+    wait = F.when(placed, F.col("day_index") - 1)
+    g = q.groupBy(*cell).agg(
+        F.count("*").alias("n_queued"), F.count_if(placed).alias("n_scheduled"), F.avg(wait).alias("mean_wait"), F.median(wait).alias("median_wait"), F.max(wait).alias("max_wait"),
+        F.max(F.when(placed, F.col("final_rank"))).alias("worst_scheduled_rank"), F.min(F.when(late, F.col("final_rank"))).alias("best_backlogged_rank"),
+        F.count_if(reserve).alias("n_reserve_recommended"), F.count_if(reserve & placed).alias("n_reserve_scheduled"),
+    )
+    before = F.col("n_reserve_recommended") / F.col("n_queued")
+    after = F.coalesce(F.col("n_reserve_scheduled") / F.nullif("n_scheduled", F.lit(0)), F.lit(0.0))
+    return g.withColumns({"queue_coverage": F.col("n_scheduled") / F.col("n_queued"), "reserve_share_delta": after - before, "reserve_slots_lost": F.col("n_reserve_recommended") - F.col("n_reserve_scheduled")})
+
+
 def project_backlog(plan: DataFrame, days: DataFrame, calendar: DataFrame, cell: list[str], k: int) -> DataFrame:
     """Every backlog row with its place, what the horizon lacks, and the later day it would fit on.
 

@@ -1020,4 +1020,4 @@ def approval_checks(spark, sf_dir):
     return uncertainty.approval_checks(plan, CELL)
 
 
-from . import operations  # noqa: E402, F401  (its queries register themselves)
+from . import operations, studies  # noqa: E402, F401  (their queries register themselves)

@@ -67,13 +67,14 @@ def decision_reasons(spark, sf_dir):
 
 
 @query(f"""WITH {_CELLS}, {_alloc_sql(POLICIES)}, d AS MATERIALIZED (SELECT policy_id, fold_id, id, eligible, model_rank, mechanism, kk, g, mechanism <> 'not_selected' AS sel,
-  CASE WHEN mechanism = 'risk_priority' THEN 'selected_by_risk_rank' WHEN mechanism = 'coverage_reserve' THEN 'selected_by_coverage_reserve' WHEN eligible THEN 'not_selected_reserve_exhausted' ELSE 'not_selected_capacity_exhausted' END AS reason FROM dec),
+  CASE WHEN mechanism = 'risk_priority' THEN 'selected_by_risk_rank' WHEN mechanism = 'coverage_reserve' THEN 'selected_by_coverage_reserve' WHEN eligible THEN 'not_selected_reserve_exhausted' ELSE 'not_selected_capacity_exhausted' END AS reason,
+  CASE WHEN mechanism <> 'not_selected' THEN row_number() OVER (PARTITION BY policy_id, fold_id ORDER BY (mechanism = 'risk_priority') DESC, (mechanism = 'coverage_reserve') DESC, model_rank) END AS fr FROM dec),
  per AS (SELECT policy_id, fold_id, count(*) AS n, max(kk) AS k, count(*) FILTER (WHERE sel) AS s, count(*) FILTER (WHERE mechanism = 'risk_priority') AS r, count(*) FILTER (WHERE mechanism = 'coverage_reserve') AS v, count(*) FILTER (WHERE eligible) AS e, max(g) AS g FROM d GROUP BY ALL),
  u AS (SELECT policy_id, fold_id, count(*) AS nu FROM pc GROUP BY ALL)
  SELECT 'cell_covers_universe' AS check_name, count(*) AS violations FROM per FULL JOIN u USING (policy_id, fold_id) WHERE n IS DISTINCT FROM nu
  UNION ALL SELECT 'selected_is_capacity', count(*) FROM per WHERE s <> least(k, n) UNION ALL SELECT 'mechanisms_add_up', count(*) FROM per WHERE r + v <> s UNION ALL SELECT 'reserve_within_target_and_supply', count(*) FROM per WHERE v > g OR v > e
  UNION ALL SELECT 'risk_is_the_best_ranks', count(*) FROM d JOIN per USING (policy_id, fold_id) WHERE (mechanism = 'risk_priority') <> (model_rank <= r) UNION ALL SELECT 'reserve_is_eligible', count(*) FROM d WHERE mechanism = 'coverage_reserve' AND NOT eligible
- UNION ALL SELECT 'mechanism_fits_reason', 0 UNION ALL SELECT 'selected_by_a_selected_reason', count(*) FROM d WHERE sel <> starts_with(reason, 'selected_') UNION ALL SELECT 'ranks_unique_and_contiguous', 0 UNION ALL SELECT 'unselected_have_no_rank', 0
+ UNION ALL SELECT 'mechanism_fits_reason', count(*) FROM d WHERE (mechanism, reason) NOT IN (('risk_priority', 'selected_by_risk_rank'), ('coverage_reserve', 'selected_by_coverage_reserve'), ('not_selected', 'not_selected_capacity_exhausted'), ('not_selected', 'not_selected_reserve_exhausted')) UNION ALL SELECT 'selected_by_a_selected_reason', count(*) FROM d WHERE sel <> starts_with(reason, 'selected_') UNION ALL SELECT 'ranks_unique_and_contiguous', count(*) FROM (SELECT 1 FROM d WHERE sel GROUP BY policy_id, fold_id HAVING min(fr) <> 1 OR max(fr) <> count(*) OR count(DISTINCT fr) <> count(*)) UNION ALL SELECT 'unselected_have_no_rank', count(*) FROM d WHERE NOT sel AND fr IS NOT NULL
  UNION ALL SELECT 'id_selected_once', count(*) FROM (SELECT 1 FROM d WHERE sel GROUP BY policy_id, fold_id, id HAVING count(*) > 1)""")
 def policy_checks(spark, sf_dir):
     d = stored(decided(spark, sf_dir, POLICIES), "decided")
@@ -86,7 +87,7 @@ def policy_checks(spark, sf_dir):
  SELECT 'slot_taken_once' AS check_name, count(*) AS violations FROM (SELECT 1 FROM sch GROUP BY fold_id, slot_date, slot_index HAVING count(*) > 1) UNION ALL SELECT 'id_in_one_slot', count(*) FROM (SELECT 1 FROM sch GROUP BY fold_id, id HAVING count(*) > 1)
  UNION ALL SELECT 'day_within_capacity', count(*) FROM us LEFT JOIN hor USING (fold_id, slot_date) WHERE n_slots IS NULL OR used > n_slots OR top > n_slots
  UNION ALL SELECT 'queue_is_accounted_for', count(*) FROM dec LEFT JOIN plan USING (fold_id, id) WHERE mechanism <> 'not_selected' AND plan.status IS NULL
- UNION ALL SELECT 'days_contiguous', count(*) FROM (SELECT fold_id FROM hor GROUP BY 1 HAVING min(day_index) <> 1 OR max(day_index) <> count(*)) UNION ALL SELECT 'backlog_has_no_slot', count(*) FROM plan WHERE (status = 'backlog') <> (slot_date IS NULL) UNION ALL SELECT 'status_is_known', 0""")
+ UNION ALL SELECT 'days_contiguous', count(*) FROM (SELECT fold_id FROM hor GROUP BY 1 HAVING min(day_index) <> 1 OR max(day_index) <> count(*)) UNION ALL SELECT 'backlog_has_no_slot', count(*) FROM plan WHERE (status = 'backlog') <> (slot_date IS NULL) UNION ALL SELECT 'status_is_known', count(*) FROM plan WHERE status NOT IN ('scheduled', 'backlog')""")
 def schedule_checks(spark, sf_dir):
     days, plan = _plan(spark, sf_dir)
     queue = decided(spark, sf_dir).where("is_selected").select("fold_id", "id")
@@ -96,7 +97,7 @@ def schedule_checks(spark, sf_dir):
 @query(f"""WITH {_INSP}, {_FOLDS}, s AS (SELECT fold_id, inspection_id, CASE WHEN d <= train_end THEN 'train' WHEN d <= calibration_end THEN 'calibration' ELSE 'test' END AS split FROM insp JOIN folds ON d BETWEEN train_start AND test_end),
  same AS (SELECT establishment_id, d, max(label) AS label, count(*) AS n FROM insp GROUP BY ALL)
  SELECT 'boundaries_are_strict' AS check_name, count(*) AS violations FROM folds WHERE NOT (train_end < calibration_start AND calibration_end < test_start AND test_start <= test_end) UNION ALL SELECT 'calibration_follows_training', count(*) FROM folds WHERE calibration_start <> train_end + 1
- UNION ALL SELECT 'no_id_in_two_splits', count(*) FROM (SELECT 1 FROM s GROUP BY fold_id, inspection_id HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'one_row_an_entity_and_day', 0 UNION ALL SELECT 'every_record_accounted_for', (SELECT count(*) FROM insp) - (SELECT CAST(sum(n) AS BIGINT) FROM same)
+ UNION ALL SELECT 'no_id_in_two_splits', count(*) FROM (SELECT 1 FROM s GROUP BY fold_id, inspection_id HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'one_row_an_entity_and_day', count(*) FROM (SELECT 1 FROM same GROUP BY establishment_id, d HAVING count(*) > 1) UNION ALL SELECT 'every_record_accounted_for', (SELECT count(*) FROM insp) - (SELECT CAST(sum(n) AS BIGINT) FROM same)
  UNION ALL SELECT 'label_is_binary', count(*) FROM same WHERE label NOT IN (0, 1)""")
 def fold_and_target_checks(spark, sf_dir):
     from ..functions import numbers
@@ -182,17 +183,18 @@ def label_redraw(spark, sf_dir):
 _LEVELS = ["day_1", "week_1", "month_1", "pct_10", "pct_25"]
 
 
-@query(f"""WITH {_CELLS}, per AS (SELECT fold_id, d, count(*) AS n FROM cells GROUP BY ALL), c AS (SELECT fold_id, CAST(sum(n) AS INTEGER) AS n, CAST(round(median(n)) AS INTEGER) AS day FROM per GROUP BY 1),
+_LEVEL_SQL = f"""per AS (SELECT fold_id, d, count(*) AS n FROM cells GROUP BY ALL), c AS (SELECT fold_id, CAST(sum(n) AS INTEGER) AS n, CAST(round(median(n)) AS INTEGER) AS day FROM per GROUP BY 1),
  lv AS (SELECT fold_id, unnest(['day_1', 'week_1', 'month_1', 'pct_10', 'pct_25']) AS k_name, unnest(list_transform([day, day * 5, day * 21, CAST(round_even(n * 0.1, 0) AS INTEGER), CAST(round_even(n * 0.25, 0) AS INTEGER)], lambda k: greatest(1, least(k, n)))) AS k FROM c),
  r AS MATERIALIZED (SELECT *, row_number() OVER w AS model_rank, sum(CAST(eligible AS INTEGER)) OVER w AS cum FROM cells WINDOW w AS (PARTITION BY fold_id ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
  tot AS (SELECT fold_id, sum(CAST(eligible AS INTEGER)) AS total FROM cells GROUP BY 1), pl AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {s}::DOUBLE, {f})" for n, s, f in POLICIES)}) AS p(policy_id, share, forced)),
  w AS MATERIALIZED (SELECT policy_id, lv.fold_id, k_name, k, total, CASE WHEN forced THEN least(floor(k * share), k) ELSE greatest(0, floor(k * share) - coalesce((SELECT cum FROM r WHERE r.fold_id = lv.fold_id AND r.model_rank = lv.k), 0)) END AS wanted FROM lv JOIN tot USING (fold_id), pl),
  g AS MATERIALIZED (SELECT policy_id, w.fold_id, k_name, k, coalesce(max(CASE WHEN total - cum >= k - model_rank THEN k - model_rank END), 0) AS g, any_value(total) AS total, any_value(wanted) AS wanted FROM w JOIN r ON r.fold_id = w.fold_id AND model_rank <= k AND k - model_rank <= wanted GROUP BY ALL),
  h AS MATERIALIZED (SELECT policy_id, fold_id, k_name, k, CASE WHEN wanted >= k AND total >= k THEN k ELSE g END AS g FROM g),
- z AS (SELECT h.policy_id, h.k_name, h.k, h.g, r.*, model_rank <= h.k - h.g AS risk, sum(CASE WHEN model_rank > h.k - h.g AND eligible THEN 1 ELSE 0 END) OVER (PARTITION BY h.policy_id, h.k_name, h.fold_id ORDER BY model_rank ROWS UNBOUNDED PRECEDING) AS below FROM h JOIN r USING (fold_id))
- SELECT policy_id, fold_id, k_name, k, count(*) FILTER (WHERE risk OR eligible AND below <= g) AS n_selected, count(*) FILTER (WHERE NOT risk AND eligible AND below <= g) AS n_reserve, CAST(sum(CASE WHEN risk OR eligible AND below <= g THEN label ELSE 0 END) AS BIGINT) AS hits FROM z GROUP BY ALL""")
-def policy_levels(spark, sf_dir):
-    """The grid of seven policies and five capacities on every fold; rows are ranked once."""
+ z AS (SELECT h.policy_id, h.k_name, h.k, h.g, r.*, model_rank <= h.k - h.g AS risk, sum(CASE WHEN model_rank > h.k - h.g AND eligible THEN 1 ELSE 0 END) OVER (PARTITION BY h.policy_id, h.k_name, h.fold_id ORDER BY model_rank ROWS UNBOUNDED PRECEDING) AS below FROM h JOIN r USING (fold_id))"""
+
+
+def _levels(spark, sf_dir):
+    """Every row under seven policies and five capacities; rows are ranked once."""
     from ..functions import numbers
 
     c = cells(spark, sf_dir)
@@ -201,8 +203,25 @@ def policy_levels(spark, sf_dir):
     grid = F.explode(F.array(*(F.struct(F.lit(n).alias("policy_id"), F.lit(s).alias("share"), F.lit(f).alias("forced")) for n, s, f in POLICIES)))
     # A fold's levels and policies are a few dozen rows.
     rows = stored(policy.ranked(c, CELL), "ranked-cells").join(F.broadcast(levels), "fold_id").withColumn("p", grid).select("*", "p.*").drop("p")
-    d = policy.allocate(rows, ["policy_id", "fold_id", "k_name"], F.col("share"), F.col("forced"))
-    return policy.cell_metrics(d, ["policy_id", "fold_id", "k_name", "k"]).select("policy_id", "fold_id", "k_name", "k", "n_selected", "n_reserve", "hits")
+    return policy.allocate(rows, ["policy_id", "fold_id", "k_name"], F.col("share"), F.col("forced"))
+
+
+@query(f"""WITH {_CELLS}, {_LEVEL_SQL}
+ SELECT policy_id, fold_id, k_name, k, count(*) FILTER (WHERE risk OR eligible AND below <= g) AS n_selected, count(*) FILTER (WHERE NOT risk AND eligible AND below <= g) AS n_reserve, CAST(sum(CASE WHEN risk OR eligible AND below <= g THEN label ELSE 0 END) AS BIGINT) AS hits FROM z GROUP BY ALL""")
+def policy_levels(spark, sf_dir):
+    """The grid of seven policies and five capacities on every fold."""
+    return policy.cell_metrics(_levels(spark, sf_dir), ["policy_id", "fold_id", "k_name", "k"]).select("policy_id", "fold_id", "k_name", "k", "n_selected", "n_reserve", "hits")
+
+
+@query(f"""WITH {_CELLS}, {_LEVEL_SQL}, pool AS MATERIALIZED (SELECT policy_id, k_name, CAST(sum(CASE WHEN risk OR eligible AND below <= g THEN label ELSE 0 END) AS BIGINT) AS positives_selected, count(*) FILTER (WHERE eligible AND (risk OR below <= g)) AS eligible_selected FROM z GROUP BY ALL),
+ dom AS (SELECT p.policy_id, p.k_name, string_agg(q.policy_id, ', ' ORDER BY q.policy_id) AS by FROM pool p JOIN pool q ON q.k_name = p.k_name AND q.positives_selected >= p.positives_selected AND q.eligible_selected >= p.eligible_selected AND (q.positives_selected > p.positives_selected OR q.eligible_selected > p.eligible_selected) GROUP BY ALL),
+ o AS (SELECT pool.*, dom.by IS NOT NULL AS is_dominated, coalesce(dom.by, '') AS dominated_by FROM pool LEFT JOIN dom USING (policy_id, k_name)), win AS (SELECT k_name, CASE WHEN count(*) = 1 THEN min(policy_id) END AS winner FROM o WHERE NOT is_dominated GROUP BY 1)
+ SELECT o.*, winner FROM o LEFT JOIN win USING (k_name)""")
+def policy_dominance(spark, sf_dir):
+    """Which policies are beaten at each capacity over all folds, by whom, and the one left if any."""
+    s = F.col("is_selected")
+    pooled = _levels(spark, sf_dir).groupBy("policy_id", "k_name").agg(F.sum(F.when(s, F.col("label")).otherwise(0)).cast("long").alias("positives_selected"), F.count_if(s & F.col("eligible")).alias("eligible_selected"))
+    return policy.dominance(stored(pooled, "policy-points"), ["k_name"], "policy_id", ["positives_selected", "eligible_selected"])
 
 
 # --- schedule -------------------------------------------------------------------------
