@@ -21,11 +21,21 @@ def quarter_key(d: Column) -> Column:
     return F.concat(F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string"))
 
 
+def clamped(p: Column, clamp: float = 1e-6) -> Column:
+    return F.least(F.greatest(p, F.lit(clamp)), F.lit(1 - clamp))
+
+
 def logit(p: Column, clamp: float = 1e-6) -> Column:
-    q = F.least(F.greatest(p, F.lit(clamp)), F.lit(1 - clamp))
+    q = clamped(p, clamp)
     return F.log(q / (1 - q))
 
 
+def round_away(x: Column, places: int) -> Column:
+    """Half away from zero, by scaling as SQL does: a small negative number becomes -0.0."""
+    scale = F.lit(10.0**places)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
 def sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
