@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import score_run
+
 ERA, ADOPTED = "2018-07-01", "2019-01-01"
 
 
@@ -69,14 +71,21 @@ def interpolate(rows: DataFrame, points: DataFrame, x: str) -> DataFrame:
     """Piecewise linear value at ``x`` between breakpoints (``px, py``), clamped at both ends.
 
     Breakpoints and rows are merged in one order; each row sees the breakpoint before and
-    after it, so there is no join of every row with every breakpoint.
+    after it, so there is no join of every row with every breakpoint.  The order goes in two
+    levels, like positions do: inside runs of a grid over ``x``, then over the runs of a cell.
+    Both sides are read by frames that only grow: a frame that shrinks is read anew for every row.
+    A null ``x`` has no value.
     """
-    w = Window.partitionBy("cell").orderBy(x, "_side")
     both = rows.withColumn("_side", F.lit(1)).withColumn("px", F.lit(None).cast("double")).withColumn("py", F.lit(None).cast("double")).unionByName(
         points.select("cell", F.col("px").alias(x), F.lit(0).alias("_side"), "px", "py"), allowMissingColumns=True)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumn("_run", F.when(F.isnan(x), F.lit((1 << 62) - 2)).otherwise(score_run(x, falling=False)))  # NaN is last
     p = F.when(F.col("_side") == 0, F.struct("px", "py"))
-    b = both.withColumn("_a", F.last(p, True).over(back)).withColumn("_z", F.first(p, True).over(ahead)).where("_side = 1")
+    grown = lambda w, end: w.rowsBetween(Window.unboundedPreceding, end)
+    inside, runs = Window.partitionBy("cell", "_run"), Window.partitionBy("cell")
+    ends = both.groupBy("cell", "_run").agg(F.max(p).alias("_most"), F.min(p).alias("_least"))
+    ends = ends.select("cell", "_run", F.last("_most", True).over(grown(runs.orderBy("_run"), -1)).alias("_below"), F.last("_least", True).over(grown(runs.orderBy(F.desc("_run")), -1)).alias("_above"))
+    b = both.withColumn("_a", F.last(p, True).over(grown(inside.orderBy(x, "_side"), 0))).withColumn("_z", F.last(p, True).over(grown(inside.orderBy(F.desc(x), F.desc("_side")), 0))).where("_side = 1")
+    b = b.join(ends, ["cell", "_run"]).withColumns({"_a": F.coalesce("_a", "_below"), "_z": F.coalesce("_z", "_above")})
     t = (F.col(x) - F.col("_a.px")) / F.nullif(F.col("_z.px") - F.col("_a.px"), F.lit(0.0))
     value = F.when(F.col("_a").isNull(), F.col("_z.py")).when(F.col("_z").isNull(), F.col("_a.py")).otherwise(F.coalesce(F.col("_a.py") + t * (F.col("_z.py") - F.col("_a.py")), F.col("_a.py")))
-    return b.withColumn("value", value).drop("_side", "px", "py", "_a", "_z")
+    return b.withColumn("value", F.when(F.col(x).isNotNull(), value)).drop("_side", "_run", "px", "py", "_a", "_z", "_below", "_above")

@@ -25,6 +25,8 @@ CLAMP = 1e-15
 #: Newton steps, and the change below which a fit counts as converged.
 STEPS, CONVERGED = 25, 1e-8
 MARGIN = 0.005
+#: Runs of the grid over scores that are pooled in one call of Python.
+RUNS_POOLED = 16
 
 
 class NotConverged(RuntimeError):
@@ -111,7 +113,7 @@ def isotonic_fit(calibration: DataFrame, cell: str) -> DataFrame:
     """
     kind = dict(calibration.dtypes)[cell]
     points = calibration.where("score is not null").groupBy(cell, "score").agg(F.avg("label").alias("y"), F.count("*").cast("double").alias("w"))
-    points = points.select(cell, score_run("score", falling=False).alias("run"), F.col("score").alias("a"), F.col("score").alias("b"), "y", "w")
+    points = points.select(cell, F.floor(score_run("score", falling=False) / RUNS_POOLED).alias("run"), F.col("score").alias("a"), F.col("score").alias("b"), "y", "w")
     schema = f"{cell} {kind}, a double, b double, y double, w double"
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
